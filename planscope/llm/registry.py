@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from planscope.llm import bpe, secrets_scan, url_filter
+from planscope.llm import bpe, language_id, mixing, secrets_scan, toxicity, url_filter
 
 
 def queries() -> dict:
     return {
         "op4_secret_scan": secrets_scan.op4_secret_scan,
         "op6_url_filter": url_filter.op6_url_filter,
+        "op7_toxicity": toxicity.op7_toxicity,
+        "op8_source_mix": mixing.op8_source_mix,
+        "op9_language_id": language_id.op9_language_id,
         "op10_bpe": bpe.op10_bpe,
         "pipeline": corpus_pipeline.run,
     }
