@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from planscope.llm import bpe, language_id, mixing, secrets_scan, toxicity, url_filter
+from planscope.llm import bpe, language_id, mixing, ngram_join, secrets_scan, toxicity, url_filter
 
 
 def queries() -> dict:
     return {
+        "op3_ngram_join": ngram_join.op3_ngram_join,
         "op4_secret_scan": secrets_scan.op4_secret_scan,
         "op6_url_filter": url_filter.op6_url_filter,
         "op7_toxicity": toxicity.op7_toxicity,
