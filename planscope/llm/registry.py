@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from planscope.llm import bpe, fingerprints, language_id, mixing, ngram_join, secrets_scan, toxicity, url_filter
+from planscope.llm import bpe, fingerprints, language_id, line_dedup, mixing, ngram_join, secrets_scan, toxicity, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_fingerprints": fingerprints.op1_fingerprints,
+        "op2_line_dedup": line_dedup.op2_line_dedup,
         "op3_ngram_join": ngram_join.op3_ngram_join,
         "op4_secret_scan": secrets_scan.op4_secret_scan,
         "op6_url_filter": url_filter.op6_url_filter,
