@@ -217,14 +217,17 @@ def encode_texts(texts: list[str], path: str) -> Iterator[tuple[str, str, int]]:
         lo = hi
 
 
-def encode_documents(docs: DataFrame, path: str, *, text_col: str = "text", with_ids: bool = True) -> DataFrame:
-    """``docs`` with n_tokens, token_ids (array of int, if ``with_ids``), decoded, ids_sha256, decoded_sha256."""
+def encode_documents(docs: DataFrame, path: str, *, text_col: str = "text", with_ids: bool = True, with_text: bool = True) -> DataFrame:
+    """``docs`` with n_tokens, token_ids (array of int, if ``with_ids``), decoded (if ``with_text``), ids_sha256,
+    decoded_sha256."""
     own = ["n_tokens", "token_ids", "decoded", "ids_sha256", "decoded_sha256"]
     kept = [f for f in docs.schema.fields if f.name not in own]
     base = docs.select(*[F.col(f"`{f.name}`") for f in kept])
     fields = [T.StructField("n_tokens", T.LongType())]
     if with_ids:
-        fields += [T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
+        fields += [T.StructField("token_ids", T.ArrayType(T.IntegerType()))]
+    if with_text:
+        fields += [T.StructField("decoded", T.StringType())]
     fields += [T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
 
     def run(text: pd.Series) -> pd.DataFrame:
@@ -232,13 +235,16 @@ def encode_documents(docs: DataFrame, path: str, *, text_col: str = "text", with
         for id_text, plain, count in encode_texts([t if t is not None else "" for t in text.tolist()], path):
             n.append(count)
             if with_ids:
-                ids.append(np.array(id_text.split(), dtype=np.int32))
+                ids.append(np.fromstring(id_text, dtype=np.int32, sep=" ") if id_text else np.zeros(0, np.int32))
+            if with_text:
                 decoded.append(plain)
             ids_sha.append(hashlib.sha256(id_text.encode()).hexdigest())
             decoded_sha.append(hashlib.sha256(plain.encode()).hexdigest())
         out = {"n_tokens": pd.Series(n, dtype="int64")}
         if with_ids:
-            out |= {"token_ids": pd.Series(ids, dtype=object), "decoded": pd.Series(decoded, dtype=object)}
+            out |= {"token_ids": pd.Series(ids, dtype=object)}
+        if with_text:
+            out |= {"decoded": pd.Series(decoded, dtype=object)}
         return pd.DataFrame(out | {"ids_sha256": pd.Series(ids_sha, dtype=object), "decoded_sha256": pd.Series(decoded_sha, dtype=object)})
 
     udf = F.pandas_udf(run, T.StructType(fields))
@@ -253,4 +259,9 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 def op10_bpe(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return encode_documents(docs, tokenizer_path(), with_ids=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return encode_documents(docs, tokenizer_path(), with_ids=False, with_text=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+def bpe_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The last stage: doc_id, source, token_ids and the hashes of ids and decoded text, a row per copy."""
+    return encode_documents(docs.select("doc_id", "text", "source"), tokenizer_path(), with_text=False).select("doc_id", "source", "n_tokens", "token_ids", "ids_sha256", "decoded_sha256")
