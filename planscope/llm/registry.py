@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from planscope.llm import bpe, fingerprints, language_id, line_dedup, mixing, ngram_join, secrets_scan, toxicity, url_filter
+from planscope.llm import bm25_search, bpe, fingerprints, language_id, line_dedup, mixing, ngram_join, secrets_scan, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op2_line_dedup": line_dedup.op2_line_dedup,
         "op3_ngram_join": ngram_join.op3_ngram_join,
         "op4_secret_scan": secrets_scan.op4_secret_scan,
+        "op5_bm25_search": bm25_search.op5_bm25_search,
         "op6_url_filter": url_filter.op6_url_filter,
         "op7_toxicity": toxicity.op7_toxicity,
         "op8_source_mix": mixing.op8_source_mix,

@@ -41,12 +41,12 @@ def _powers(base: int, n: int) -> np.ndarray:
     return out[:n]
 
 
-def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and start of every word of ``raw``."""
+def word_hashes(raw: bytes, separators: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and start of every word of ``raw``; ``separators`` says which bytes end a word."""
     data = np.frombuffer(raw, dtype=np.uint8)
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    space = _IS_SPACE[data]
+    space = separators[data]
     edge = np.diff(np.concatenate(([True], space, [True])).view(np.int8))
     start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     if not len(start):
