@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from planscope.llm import shingles
 from planscope.llm.common import checkpointed, table
 from planscope.llm.components import connected_components
+from planscope.llm.url_filter import may_contain
 
 SKETCH_BITS = 18
 SLICES = 64
@@ -71,7 +72,7 @@ def least_difference(a: bytes, b: bytes) -> int:
 
 
 def _describe(words: int):
-    """(doc_id, class, n, bitmap) per row, and the task's share of the column sketch as slices."""
+    """(doc_id, key, class, n, bitmap) per row, and the task's share of the column sketch as slices."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, seen = np.zeros(1 << SKETCH_BITS, dtype=np.int64), set()
@@ -89,15 +90,15 @@ def _describe(words: int):
                     np.add.at(sketch, (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
-                names=["doc_id", "class", "n", "bitmap", "slice", "counts"],
+                [batch.column(0), batch.column(2), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
+                names=["doc_id", "key", "class", "n", "bitmap", "slice", "counts"],
             )
         parts = sketch.reshape(SLICES, -1)
         if sketch.any():
             none = pa.nulls(SLICES, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [none, none, none, pa.nulls(SLICES, pa.binary()), pa.array(range(SLICES), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())],
-                names=["doc_id", "class", "n", "bitmap", "slice", "counts"],
+                [none, none, none, none, pa.nulls(SLICES, pa.binary()), pa.array(range(SLICES), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())],
+                names=["doc_id", "key", "class", "n", "bitmap", "slice", "counts"],
             )
 
     return run
@@ -250,11 +251,19 @@ def _block_links(percent: int):
 
 
 def _sets(words: int):
-    @F.pandas_udf("array<bigint>")
-    def sets(text: pd.Series) -> pd.Series:
-        return pd.Series([s.view(np.int64) for s in shingles.shingle_sets(text.tolist(), words)], dtype=object)
+    """(class, n, tokens) from (class, n, text); a text of another class (rows that share an id) gives none."""
 
-    return sets
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            name, n, tokens = [], [], []
+            for own, s in zip(batch.column(0).to_pylist(), shingles.shingle_sets(batch.column(2).to_pylist(), words), strict=True):
+                if shingles.set_signature(s) == own:
+                    name.append(own)
+                    n.append(len(s))
+                    tokens.append(s.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(name, pa.int64()), pa.array(n, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], names=["class", "n", "tokens"])
+
+    return run
 
 
 def _passes_bitmaps(percent: int):
@@ -276,15 +285,15 @@ def _overlap_enough(percent: int):
 
 
 def describe(docs: DataFrame, words: int) -> tuple[DataFrame, object]:
-    """(doc_id, class, n, bitmap) of ``docs`` (doc_id, text), checkpointed, and the broadcast column sketch."""
+    """(doc_id, key, class, n, bitmap) of ``docs`` (doc_id, text, key), checkpointed, and the broadcast column sketch."""
     spark = docs.sparkSession
-    rows = checkpointed(docs.mapInArrow(_describe(words), "doc_id bigint, class bigint, n bigint, bitmap binary, slice int, counts binary"))
+    rows = checkpointed(docs.mapInArrow(_describe(words), "doc_id bigint, key bigint, class bigint, n bigint, bitmap binary, slice int, counts binary"))
     parts = rows.where("slice is not null").select("slice", "counts").mapInPandas(_sum_some, "slice int, counts binary")
     slices = parts.groupBy("slice").applyInPandas(_sum_slices, "slice int, counts binary").collect()  # 64 rows, 2 MB in all
     sketch = np.zeros((SLICES, (1 << SKETCH_BITS) // SLICES), dtype=np.int64)
     for r in slices:
         sketch[r["slice"]] = np.frombuffer(r["counts"], dtype=np.int64)
-    return rows.where("slice is null").select("doc_id", "class", "n", "bitmap"), spark.sparkContext.broadcast(sketch.reshape(-1))
+    return rows.where("slice is null").select("doc_id", "key", "class", "n", "bitmap"), spark.sparkContext.broadcast(sketch.reshape(-1))
 
 
 def class_links(docs: DataFrame, described: DataFrame, sketch, words: int, percent: int) -> DataFrame:
@@ -292,8 +301,7 @@ def class_links(docs: DataFrame, described: DataFrame, sketch, words: int, perce
     posts = docs.select("text").mapInArrow(_postings(words, percent, sketch), "token bigint, class bigint, place bigint")
     posts = posts.repartition(F.col("token")).sortWithinPartitions("token", "place", "class")
     found = checkpointed(posts.mapInArrow(_bucket_pairs(percent), "token bigint, a bigint, b bigint, place bigint"))
-    classes = described.where("n > 0").groupBy("class").agg(F.min_by(F.struct("doc_id", "bitmap"), "doc_id").alias("r"), F.first("n").alias("n"), F.first("bitmap").alias("any_bitmap"))
-    classes = classes.select("class", "n", F.col("r.doc_id").alias("rep"), F.coalesce("r.bitmap", "any_bitmap").alias("bitmap"))
+    classes = described.where("n > 0").groupBy("class").agg(F.first("n").alias("n"), F.min("key").alias("rep"), F.first("bitmap").alias("bitmap"))
 
     pairs = found.where("b is not null").select("a", "b").distinct()
     left = classes.select(F.col("class").alias("a"), F.col("n").alias("na"), F.col("bitmap").alias("ma"))
@@ -305,9 +313,10 @@ def class_links(docs: DataFrame, described: DataFrame, sketch, words: int, perce
     # whole sets of the classes that any of these need, from the text of one document each
     needed = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).union(members.select("class")).distinct()
     needed = needed.join(classes.select("class", "rep", "n"), "class")
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(needed, "rep")
-    sets = texts.withColumn("tokens", _sets(words)("text")).where(F.size("tokens") == F.col("n")).select("class", "n", "tokens")
-    sets = checkpointed(sets)
+    # (a Bloom filter of bounded size keeps most other texts out of the shuffle; the join is exact)
+    needed = checkpointed(needed)
+    texts = may_contain(docs.select(F.col("key").alias("rep"), "text"), "rep", needed, "rep").join(needed, "rep")
+    sets = checkpointed(texts.select("class", "n", "text").mapInArrow(_sets(words), "class bigint, n bigint, tokens array<bigint>"))
 
     a = sets.select(F.col("class").alias("a"), F.col("tokens").alias("ta"))
     b = sets.select(F.col("class").alias("b"), F.col("tokens").alias("tb"))
@@ -325,6 +334,7 @@ def class_links(docs: DataFrame, described: DataFrame, sketch, words: int, perce
 def jaccard_components(docs: DataFrame, *, words: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of ``docs``; linked when 100 * |A & B| >= percent * |A | B|."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.withColumn("key", F.coalesce("doc_id", F.xxhash64("text")))  # finds a text again, also without an id
     described, sketch = describe(docs, words)
     links = class_links(docs, described, sketch, words, percent)
     root = connected_components(links)

@@ -64,6 +64,17 @@ def bloom_table(listed: DataFrame, key: str, blocks: int, bits: int) -> DataFram
     return listed.where(F.col(key).isNotNull()).groupBy(block.alias("__block")).agg(F.bit_or(mask).alias("__word"))
 
 
+def may_contain(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str, *, blocks: int = 1 << 16, bits: int = 4) -> DataFrame:
+    """``rows`` whose key may be among the wanted keys: a semi-join by the Bloom filter alone, without a shuffle.
+    With more keys than the filter holds it lets more through, but never drops a wanted row."""
+    assert blocks <= 1 << 20, "the broadcast filter is bounded by 2**20 blocks"
+    block, mask = _block_and_mask(F.col(key), blocks, bits)
+    bloom = bloom_table(wanted, wanted_key, blocks, bits)
+    rows = rows.where(F.col(key).isNotNull())
+    probed = rows.withColumns({"__b": block, "__m": mask}).join(F.broadcast(bloom), F.col("__b") == F.col("__block"))
+    return probed.where(F.col("__word").bitwiseAND(F.col("__m")) == F.col("__m")).select(*[F.col(f"`{c}`") for c in rows.columns])
+
+
 def filter_urls(
     pages: DataFrame, listed: DataFrame, rules: list[Rule], *, id_col: str = "page_id", url_col: str = "url",
     key_col: str = "canonical_url", blocks: int = 1 << 16, bits: int = 4,

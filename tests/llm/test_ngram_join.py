@@ -81,6 +81,7 @@ def test_large_columns_go_through_blocks(spark, monkeypatch):
 
 def test_repeated_rows_nulls_and_empty(spark):
     rows = [(4, "a b c d e f g"), (4, "a b c d e f g"), (None, "a b c d e f g"), (None, "other words are in this text"), (None, None)]
+    rows += [(None, " ".join(f"n{i}" for i in range(90))), (None, " ".join(f"n{i}" for i in range(88)))]
     got = nj.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), words=4, percent=85).collect()
     assert sorted((tuple(r) for r in got), key=str) == brute(rows, 4, 85)
     assert nj.jaccard_components(spark.createDataFrame([], "doc_id long, text string"), words=4, percent=85).count() == 0
