@@ -60,20 +60,29 @@ def _empty_cell() -> Column:
     return _cell(F.lit(0), F.lit(0).cast("long"), F.lit(0).cast("long"))
 
 
-def insert(cells: Column, digests: Column, sign: int, width: Column | int) -> Column:
-    """``cells`` (three rows of ``width``) with each digest added ``sign`` times."""
+def entries(digests: Column, sign: int, width: Column | int) -> Column:
+    """Digests with their check hash, sign, and the numbers of their cells in three rows of ``width``."""
     w = F.lit(width) if isinstance(width, int) else width
-    return F.aggregate(digests, cells, lambda acc, d: _toggle(acc, d, F.lit(sign), w))
+    return F.transform(digests, lambda d: _entry(d, F.lit(sign), w))
 
 
-def _toggle(cells: Column, d: Column, sign: Column, width: Column) -> Column:
-    """Add ``sign`` times digest ``d``: xor makes adding and taking out alike but for the count."""
+def _entry(d: Column, sign: Column, w: Column) -> Column:
+    return F.struct(
+        d.alias("d"), _check(d).alias("g"), sign.alias("s"), _place(d, 0, w).alias("p"), (w + _place(d, 1, w)).alias("q"), (w * 2 + _place(d, 2, w)).alias("r")
+    )
+
+
+def insert(cells: Column, added: Column) -> Column:
+    """``cells`` with every entry added."""
+    return F.aggregate(added, cells, _toggle)
+
+
+def _toggle(cells: Column, x: Column) -> Column:
+    """Add an entry: xor makes adding and taking out alike but for the count."""
 
     def change(cell: Column, i: Column) -> Column:
-        row = F.floor(i / width).cast("int")
-        at = F.when(row == 0, _place(d, 0, width)).when(row == 1, _place(d, 1, width)).otherwise(_place(d, 2, width))
-        changed = _cell(cell["c"] + sign, cell["k"].bitwiseXOR(d), cell["h"].bitwiseXOR(_check(d)))
-        return F.when(at == i - row * width, changed).otherwise(cell)
+        changed = _cell(cell["c"] + x["s"], cell["k"].bitwiseXOR(x["d"]), cell["h"].bitwiseXOR(x["g"]))
+        return F.when((i == x["p"]) | (i == x["q"]) | (i == x["r"]), changed).otherwise(cell)
 
     return F.transform(cells, change)
 
@@ -96,14 +105,16 @@ def peel(cells: Column, width: Column | int, steps: Column) -> Column:
     zero = F.struct(cells.alias("cells"), F.lit(0).alias("only_a"), F.lit(0).alias("only_b"), F.lit(False).alias("stuck")).cast(PEELED)
 
     def step(s: Column, _: Column) -> Column:
-        # get() of an empty array is null
+        # get() of an empty array is null; arrays of one candidate let the step name it and its entry once
         pure = F.get(F.filter(s["cells"], lambda x: (F.abs(x["c"]) == 1) & (x["h"] == _check(x["k"]))), F.lit(0))
-        # an array of one candidate lets the step name it once
-        return F.element_at(F.transform(F.array(pure), lambda p: F.when(p.isNull(), s.withField("stuck", F.lit(True)).cast(PEELED)).otherwise(
-            F.struct(
-                _toggle(s["cells"], p["k"], -p["c"], w).alias("cells"), (s["only_a"] + (p["c"] > 0).cast("int")).alias("only_a"),
-                (s["only_b"] + (p["c"] < 0).cast("int")).alias("only_b"), F.lit(False).alias("stuck"),
-            ).cast(PEELED))), 1)
+
+        def taken_out(p: Column) -> Column:
+            cells = F.element_at(F.transform(F.array(_entry(p["k"], -p["c"], w)), lambda e: _toggle(s["cells"], e)), 1)
+            return F.struct(
+                cells.alias("cells"), (s["only_a"] + (p["c"] > 0).cast("int")).alias("only_a"), (s["only_b"] + (p["c"] < 0).cast("int")).alias("only_b"), F.lit(False).alias("stuck")
+            ).cast(PEELED)
+
+        return F.element_at(F.transform(F.array(pure), lambda p: F.when(p.isNull(), s.withField("stuck", F.lit(True)).cast(PEELED)).otherwise(taken_out(p))), 1)
 
     def guarded(s: Column, i: Column) -> Column:
         return F.when(s["stuck"], s).otherwise(step(s, i))
@@ -116,7 +127,7 @@ def peel(cells: Column, width: Column | int, steps: Column) -> Column:
 
 
 def root_table(digests: Column) -> Column:
-    return insert(empty_table(ROOT_WIDTH), digests, 1, ROOT_WIDTH)
+    return insert(empty_table(ROOT_WIDTH), entries(digests, 1, ROOT_WIDTH))
 
 
 def fingerprint_text(cells: Column) -> Column:
@@ -131,7 +142,7 @@ def bucket_difference(a: Column, b: Column) -> Column:
     """How many digests ``a`` and ``b`` differ in, by tables of growing width, at last digest by digest."""
 
     def attempt(best: Column, width: Column) -> Column:
-        cells = insert(insert(empty_table(width), a, 1, width), b, -1, width)
+        cells = insert(empty_table(width), F.concat(entries(a, 1, width), entries(b, -1, width)))
         steps = F.size(a) + F.size(b) + 1
         peeled = peel(cells, width, steps)
         return F.when(best["done"], best).otherwise(F.element_at(F.transform(F.array(peeled), lambda p: F.struct(p["done"].alias("done"), p["only_a"].alias("only_a"), p["only_b"].alias("only_b")).cast(TRIED)), 1))
@@ -152,44 +163,45 @@ def successors(keys: DataFrame) -> DataFrame:
     """(id, hash) of every document with those of the next one and its own length. Only ids, hashes and lengths
     move: they are range-partitioned in order, linked inside a partition, and across partitions through one row each."""
     order = [F.col("absent").asc(), F.col("id").desc(), F.col("hash").desc()]
+    key = ["id", "absent", "hash"]
     rows = checkpointed(keys.distinct().repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
     inside = Window.partitionBy("part").orderBy(*order)
-    linked = rows.withColumn("next", F.lead(F.struct("id", "hash")).over(inside))
+    linked = rows.withColumn("next", F.lead(F.struct(*key)).over(inside))
     # the first document of every partition: as many rows as there are partitions
-    heads = rows.withColumn("n", F.row_number().over(inside)).where("n = 1").select("part", F.struct("id", "hash").alias("head"))
+    heads = rows.withColumn("n", F.row_number().over(inside)).where("n = 1").select("part", F.struct(*key).alias("head"))
     around = Window.orderBy("part")
     first = F.first("head").over(around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     heads = heads.select("part", F.coalesce(F.lead("head").over(around), first).alias("after"))
     linked = linked.join(F.broadcast(heads), "part")
-    return linked.select("id", "hash", "n_chars", F.coalesce("next", "after").alias("next"))
+    return linked.select(*key, "n_chars", F.coalesce("next", "after").alias("next"))
+
+
+KEY = ["id", "absent", "hash"]
 
 
 def edited_documents(docs: DataFrame) -> DataFrame:
-    """``docs`` (id, hash, absent, text, n_chars) once each, with copies, edited and next_digests."""
-    links = successors(docs.select("id", "hash", "absent", "n_chars"))
-    own = Window.partitionBy("id", "hash")
-    once = docs.withColumn("rn", F.row_number().over(own.orderBy("hash"))).withColumn("copies", F.count("*").over(own)).where("rn = 1").drop("rn")
+    """``docs`` (KEY, text) once each, with copies, n_chars, edited and x: the next document's digests."""
+    length = F.char_length("text").cast("long")
+    links = successors(docs.select(*KEY, length.alias("n_chars")))
+    own = Window.partitionBy(*KEY)
+    # both uses need the same columns of the exchange by key, so that it is made once
+    once = docs.withColumn("rn", F.row_number().over(own.orderBy("text"))).withColumn("copies", F.count("*").over(own)).where("rn = 1 and copies > 0").drop("rn")
     # what a document sends to the one before it: the prefix that the edit needs, and its digests
-    wanted = links.select(
-        F.col("next.id").alias("id"), F.col("next.hash").alias("hash"), F.col("id").alias("to_id"), F.col("hash").alias("to_hash"),
-        F.floor(F.col("n_chars") / 3).cast("int").alias("take"),
-    )
-    sent = once.join(wanted, ["id", "hash"]).select(
-        F.col("to_id").alias("id"), F.col("to_hash").alias("hash"), F.substring("text", F.lit(1), F.col("take")).alias("prefix"), paragraph_digests(F.col("text")).alias("x")
+    wanted = links.select(*[F.col(f"next.{c}").alias(c) for c in KEY], *[F.col(c).alias(f"to_{c}") for c in KEY], F.floor(F.col("n_chars") / 3).cast("int").alias("take"))
+    sent = once.join(wanted, KEY).select(
+        *[F.col(f"to_{c}").alias(c) for c in KEY], F.substring("text", F.lit(1), F.col("take")).alias("prefix"), paragraph_digests(F.col("text")).alias("x")
     )
+    both = once.join(sent, KEY).withColumn("n_chars", length)
     keep = (F.col("n_chars") - F.floor(F.col("n_chars") / 3)).cast("int")
-    return once.join(sent, ["id", "hash"]).withColumn("edited", F.concat(F.substring("text", F.lit(1), keep), F.col("prefix")))
+    return both.withColumn("edited", F.concat(F.substring("text", F.lit(1), keep), F.col("prefix")))
 
 
 def fingerprint_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     text, key = F.coalesce(F.col(text_col), F.lit("")), F.col(id_col).cast("long")
-    base = docs.select(
-        F.coalesce(key, F.lit(0).cast("long")).alias("id"), F.xxhash64(key.isNull(), text).alias("hash"), key.isNull().alias("absent"), text.alias("text"),
-        F.char_length(text).cast("long").alias("n_chars"),
-    )
+    base = docs.select(F.coalesce(key, F.lit(0).cast("long")).alias("id"), key.isNull().alias("absent"), F.xxhash64(text).alias("hash"), text.alias("text"))
     rows = edited_documents(base).select(
-        "id", "hash", "absent", "copies", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        *KEY, "copies", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         paragraph_digests(F.col("text")).alias("a"), paragraph_digests(F.col("edited")).alias("e"), "x",
     )
     rows = rows.select("*", root_table(F.col("a")).alias("ta"), root_table(F.col("e")).alias("te"), root_table(F.col("x")).alias("tx"))
@@ -197,7 +209,7 @@ def fingerprint_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     rows = rows.withColumns({"pe": peel(subtract(F.col("ta"), F.col("te")), ROOT_WIDTH, steps), "px": peel(subtract(F.col("ta"), F.col("tx")), ROOT_WIDTH, steps)})
     first = lambda p: F.when(F.col(p)["done"], F.col(p)["only_a"] + F.col(p)["only_b"])
     info = F.struct(
-        "absent", "copies", "n_chars", "edited_sha256", fingerprint_text(F.col("ta")).alias("fingerprint"), fingerprint_text(F.col("te")).alias("edited_fingerprint"),
+        "copies", "n_chars", "edited_sha256", fingerprint_text(F.col("ta")).alias("fingerprint"), fingerprint_text(F.col("te")).alias("edited_fingerprint"),
         first("pe").alias("de"), first("px").alias("dx"), F.size("a").alias("na"), F.size("e").alias("ne"), F.size("x").alias("nx"),
     )
     # the root tables that were peeled are settled; the larger tables see the rest, bucket by bucket: a bucket is
@@ -205,21 +217,21 @@ def fingerprint_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     most = F.greatest(F.size("a"), F.size("e"), F.size("x"))
     bits = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(most / F.lit(float(LOAD)), F.lit(1.0)))).cast("int"))
     none, long_null = F.lit(None), F.lit(None).cast("long")
-    rows = rows.select("id", "hash", "a", "e", "x", info.alias("info"), bits.alias("bits"), (first("pe").isNull() | first("px").isNull()).alias("open"))
+    rows = rows.select(*KEY, "a", "e", "x", info.alias("info"), bits.alias("bits"), (first("pe").isNull() | first("px").isNull()).alias("open"))
     tag = lambda c, side: F.transform(c, lambda d: F.struct(d.alias("d"), F.lit(side).alias("s")))
     every = F.when(F.col("open"), F.concat(F.array(F.struct(long_null.alias("d"), F.lit(-1).alias("s"))), tag("a", 0), tag("e", 1), tag("x", 2))).otherwise(
         F.array(F.struct(long_null.alias("d"), F.lit(-1).alias("s")))
     )
-    flat = rows.select("id", "hash", "bits", "info", F.explode(every).alias("v"))
+    flat = rows.select(*KEY, "bits", "info", F.explode(every).alias("v"))
     bucket = F.when((F.col("bits") == 0) | F.col("v.d").isNull(), F.lit(0).cast("long")).otherwise(F.call_function("shiftrightunsigned", F.col("v.d"), F.lit(64) - F.col("bits")))
-    flat = flat.select("id", "hash", bucket.alias("bucket"), F.col("v.d").alias("d"), F.col("v.s").alias("s"), F.when(F.col("v.s") == -1, F.col("info")).otherwise(none).alias("info"))
+    flat = flat.select(*KEY, bucket.alias("bucket"), F.col("v.d").alias("d"), F.col("v.s").alias("s"), F.when(F.col("v.s") == -1, F.col("info")).otherwise(none).alias("info"))
     side = lambda k: F.collect_list(F.when(F.col("s") == k, F.col("d")))
-    buckets = flat.groupBy("id", "hash", "bucket").agg(side(0).alias("a"), side(1).alias("e"), side(2).alias("x"), F.first("info", ignorenulls=True).alias("info"))
-    buckets = buckets.select("id", "hash", "info", bucket_difference(F.col("a"), F.col("e")).alias("de"), bucket_difference(F.col("a"), F.col("x")).alias("dx"))
-    out = buckets.groupBy("id", "hash").agg(F.sum("de").alias("de"), F.sum("dx").alias("dx"), F.first("info", ignorenulls=True).alias("i"))
+    buckets = flat.groupBy(*KEY, "bucket").agg(side(0).alias("a"), side(1).alias("e"), side(2).alias("x"), F.first("info", ignorenulls=True).alias("info"))
+    buckets = buckets.select(*KEY, "info", bucket_difference(F.col("a"), F.col("e")).alias("de"), bucket_difference(F.col("a"), F.col("x")).alias("dx"))
+    out = buckets.groupBy(*KEY).agg(F.sum("de").alias("de"), F.sum("dx").alias("dx"), F.first("info", ignorenulls=True).alias("i"))
     out = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("i.copies"))))
     return out.select(
-        F.when(~F.col("i.absent"), F.col("id")).alias("doc_id"), F.col("i.n_chars").alias("n_chars"), F.col("i.edited_sha256").alias("edited_sha256"),
+        F.when(~F.col("absent"), F.col("id")).alias("doc_id"), F.col("i.n_chars").alias("n_chars"), F.col("i.edited_sha256").alias("edited_sha256"),
         F.col("i.fingerprint").alias("fingerprint"), F.col("i.edited_fingerprint").alias("edited_fingerprint"),
         likeness(F.col("i.na"), F.col("i.ne"), F.coalesce(F.col("i.de"), F.col("de"))).alias("near_edited"),
         likeness(F.col("i.na"), F.col("i.nx"), F.coalesce(F.col("i.dx"), F.col("dx"))).alias("near_next"),
