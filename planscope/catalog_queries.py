@@ -38,10 +38,13 @@ def _query(sql: str | None):
 
 
 def queries() -> dict[str, QueryFn]:
+    from planscope import more_queries  # noqa: F401  registers its queries
+
     return {n: f for n, (f, _) in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return {n: s for n, (_, s) in _QUERIES.items() if s is not None}
 
 
