@@ -22,12 +22,12 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 #: Words with at least so many characters are not kept: they are rare and large.
 LONG_WORD = 200
 
@@ -69,6 +69,7 @@ class Vocabulary:
         self.suffix: str = model["end_of_word_suffix"]
         vocab: dict[str, int] = model["vocab"]
         self.tokens = {i: t for t, i in vocab.items()} | {t["id"]: t["content"] for t in data["added_tokens"]}
+        self.id_text = {i: str(i) for i in self.tokens}
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
         pattern = data["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
@@ -79,7 +80,6 @@ class Vocabulary:
         self.newer = regex.compile(f"[{ranges}{cased}]")
         explicit = pattern.replace(r"\p{L}", rf"[\p{{L}}--[{ranges}]]").replace(r"\p{N}", rf"[\p{{N}}--[{ranges}]]")
         self.explicit = regex.compile(explicit, flags=regex.V1)
-        self.spaces = regex.compile(r"\s+")
         pairs = [(vocab[a], vocab[b], vocab[a + b]) for a, b in model["merges"]]
         keys = np.array([(a << 32) | b for a, b, _ in pairs], dtype=np.int64)
         order = np.argsort(keys, kind="stable")
@@ -141,17 +141,20 @@ class Vocabulary:
         return all_ids[order], np.bincount(all_words, minlength=len(raw))
 
     def words(self, text: str) -> list[str]:
-        """The words of a text without special tokens: NFC, white space to one space, lower case per character."""
+        """The words of a text without special tokens: NFC, lower case per character. White space only ever separates
+        words, so runs of it need not become one space first."""
         import unicodedata
 
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
-            text = self.spaces.sub(" ", text).replace("Σ", "σ").lower()
+        if text.isascii():
+            return self.pattern.findall(text.lower())
+        try:
+            text.encode("latin-1")  # Latin-1 texts are in NFC and old enough for all Unicode tables
+        except UnicodeEncodeError:
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
             if self.newer.search(text):
                 return self.explicit.findall(text.translate(LOWER))
-        else:
-            text = text.lower()
-        return self.pattern.findall(text)
+            return self.pattern.findall(text)
+        return self.pattern.findall(text.lower())
 
     def split(self, text: str) -> list[str]:
         """All words of a text; special tokens are marked by a leading NUL, which no other word has in front
@@ -172,6 +175,7 @@ class Vocabulary:
             self.cache.clear()
         out: dict[str, tuple[str, str, int]] = {}
         fresh: list[str] = []
+        tokens, id_text = self.tokens, self.id_text
         for w in words:
             if (got := self.cache.get(w)) is not None:
                 out[w] = got
@@ -187,7 +191,7 @@ class Vocabulary:
             for w, end in zip(part, ends, strict=True):
                 own = flat[start:end]
                 start = end
-                out[w] = got = (" ".join(map(str, own)), " ".join([self.tokens[i] for i in own]), len(own))
+                out[w] = got = (" ".join([id_text[i] for i in own]), " ".join([tokens[i] for i in own]), len(own))
                 if len(w) < LONG_WORD:
                     self.cache[w] = got
         return out
@@ -198,57 +202,65 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+def _chunks(texts: list[str], chars: int = 500_000) -> Iterator[tuple[int, int]]:
+    """Ranges of texts with about so many characters, one text at least."""
+    lo = 0
+    while lo < len(texts):
+        hi, size = lo, 0
+        while hi < len(texts) and (hi == lo or size < chars):
+            size += len(texts[hi])
+            hi += 1
+        yield lo, hi
+        lo = hi
+
+
 def encode_texts(texts: list[str], path: str) -> Iterator[tuple[str, str, int]]:
     """For each text: ids joined by one space, the decoded text, the number of tokens.
 
     Decoding joins the tokens by one space: the vocabulary names no decoder."""
     v = vocabulary(path)
-    lo = 0
-    while lo < len(texts):  # bounded by characters, one text at least
-        hi, size = lo, 0
-        while hi < len(texts) and (hi == lo or size < 4_000_000):
-            size += len(texts[hi])
-            hi += 1
+    for lo, hi in _chunks(texts):
         split = [v.split(t) for t in texts[lo:hi]]
         known = v.know(set().union(*split))
         for words in split:
             got = [known[w] for w in words]
             yield " ".join([g[0] for g in got]), " ".join([g[1] for g in got]), sum([g[2] for g in got])
-        lo = hi
 
 
 def encode_documents(docs: DataFrame, path: str, *, text_col: str = "text", with_ids: bool = True, with_text: bool = True) -> DataFrame:
     """``docs`` with n_tokens, token_ids (array of int, if ``with_ids``), decoded (if ``with_text``), ids_sha256,
-    decoded_sha256."""
+    decoded_sha256. Results leave in batches of about half a million characters, whatever the size of the input's batches."""
     own = ["n_tokens", "token_ids", "decoded", "ids_sha256", "decoded_sha256"]
     kept = [f for f in docs.schema.fields if f.name not in own]
-    base = docs.select(*[F.col(f"`{f.name}`") for f in kept])
-    fields = [T.StructField("n_tokens", T.LongType())]
-    if with_ids:
-        fields += [T.StructField("token_ids", T.ArrayType(T.IntegerType()))]
-    if with_text:
-        fields += [T.StructField("decoded", T.StringType())]
+    fields = [*kept, T.StructField("n_tokens", T.LongType())]
+    fields += [T.StructField("token_ids", T.ArrayType(T.IntegerType()))] * with_ids + [T.StructField("decoded", T.StringType())] * with_text
     fields += [T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
-
-    def run(text: pd.Series) -> pd.DataFrame:
-        n, ids, decoded, ids_sha, decoded_sha = [], [], [], [], []
-        for id_text, plain, count in encode_texts([t if t is not None else "" for t in text.tolist()], path):
-            n.append(count)
-            if with_ids:
-                ids.append(np.fromstring(id_text, dtype=np.int32, sep=" ") if id_text else np.zeros(0, np.int32))
-            if with_text:
-                decoded.append(plain)
-            ids_sha.append(hashlib.sha256(id_text.encode()).hexdigest())
-            decoded_sha.append(hashlib.sha256(plain.encode()).hexdigest())
-        out = {"n_tokens": pd.Series(n, dtype="int64")}
-        if with_ids:
-            out |= {"token_ids": pd.Series(ids, dtype=object)}
-        if with_text:
-            out |= {"decoded": pd.Series(decoded, dtype=object)}
-        return pd.DataFrame(out | {"ids_sha256": pd.Series(ids_sha, dtype=object), "decoded_sha256": pd.Series(decoded_sha, dtype=object)})
-
-    udf = F.pandas_udf(run, T.StructType(fields))
-    return base.withColumn("__t", udf(F.col(text_col))).select(*[F.col(f"`{f.name}`") for f in kept], "__t.*")
+    place, names = len(kept), [f.name for f in fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t if t is not None else "" for t in batch.column(place).to_pylist()]
+            for lo, hi in _chunks(texts):
+                n, ids, decoded, ids_sha, decoded_sha = [], [], [], [], []
+                for id_text, plain, count in encode_texts(texts[lo:hi], path):
+                    n.append(count)
+                    if with_ids:
+                        ids.append(np.fromstring(id_text, dtype=np.int32, sep=" ") if id_text else np.zeros(0, np.int32))
+                    if with_text:
+                        decoded.append(plain)
+                    ids_sha.append(hashlib.sha256(id_text.encode()).hexdigest())
+                    decoded_sha.append(hashlib.sha256(plain.encode("utf-8", "surrogatepass")).hexdigest())
+                out = [c.slice(lo, hi - lo) for c in batch.columns[:place]] + [pa.array(n, pa.int64())]
+                if with_ids:
+                    ends = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
+                    out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids))))
+                if with_text:
+                    out.append(pa.array(decoded, pa.string()))
+                out += [pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())]
+                yield pa.RecordBatch.from_arrays(out, names=names)
+
+    rows = docs.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{text_col}`").alias("__text"))
+    return rows.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType) for f in fields]))
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:

@@ -15,7 +15,7 @@ BITS = 22
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
-def chunks(texts: list[str], chars: int = 2_000_000, docs: int = 512) -> Iterator[tuple[int, int]]:
+def chunks(texts: list[str], chars: int = 500_000, docs: int = 256) -> Iterator[tuple[int, int]]:
     """Ranges of texts with about so many characters, one text at least."""
     lo = 0
     while lo < len(texts):
@@ -54,6 +54,14 @@ def presence(texts: list[str], slots: np.ndarray, features: int, sizes: tuple[in
     return out.reshape(len(texts), features)
 
 
+def presence_matrix(texts: list[str], slots: np.ndarray, features: int, sizes: tuple[int, ...]) -> np.ndarray:
+    """``presence`` of all texts, filled in place."""
+    out = np.empty((len(texts), features), dtype=np.float32)
+    for lo, hi in chunks(texts):
+        out[lo:hi] = presence(texts[lo:hi], slots, features, sizes)
+    return out
+
+
 def document_counts(texts: list[str], groups: np.ndarray, n_groups: int, sizes: tuple[int, ...]) -> np.ndarray:
     """In how many documents of each group a bucket occurs: array (n_groups, 2**BITS)."""
     out = np.zeros((n_groups, 1 << BITS), dtype=np.int32)

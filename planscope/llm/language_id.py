@@ -96,7 +96,7 @@ def fit_texts(texts: list[str], langs: list[str], features: int = FEATURES) -> L
     share = counts[:, seen] / size[:, None]
     best = np.lexsort((seen, -share.var(0)))[:features]
     slots = g.slot_table(seen[best])
-    x = np.concatenate([g.presence(texts[lo:hi], slots, len(best), SIZES) for lo, hi in g.chunks(texts)])
+    x = g.presence_matrix(texts, slots, len(best), SIZES)
     x /= np.sqrt(np.maximum(1, x.sum(1, keepdims=True)))
     code = codewords(len(languages))
     target = (code[group] > 0).astype(np.float32)

@@ -59,7 +59,7 @@ def fit_texts(texts: list[str], toxic: np.ndarray, features: int = FEATURES) ->
     chosen, c0, c1 = seen[best], c0[best], c1[best]
     ratio = np.log((c1 + 1) / (n1 + 2)) - np.log((c0 + 1) / (n0 + 2))
     slots = g.slot_table(chosen)
-    x = np.concatenate([g.presence(texts[lo:hi], slots, len(chosen), SIZES) for lo, hi in g.chunks(texts)])
+    x = g.presence_matrix(texts, slots, len(chosen), SIZES)
     x *= ratio.astype(np.float32)
     w, b = g.logistic(x, toxic, l2=1e-4, rate=0.02)
     return ToxicityModel(slots, (w[:, 0] * ratio).astype(np.float32), float(b[0]))
