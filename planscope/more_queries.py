@@ -15,6 +15,7 @@ from planscope.operators import cube as cb
 from planscope.operators import exploration as ex
 from planscope.operators import relation as rl
 from planscope.operators import reports as rp
+from planscope.streaming import results as st
 
 _ORDERS = "SELECT [['c', 'o', 'l'], ['o', 'c', 'l'], ['l', 'o', 'c'], ['l', 'p', 'o'], ['c', 'o']][CAST(1 + o_orderkey % 5 AS INTEGER)] AS ord, o_orderkey AS k FROM orders"
 
@@ -218,3 +219,39 @@ def _lattice_containment(spark, d):
 @_query("SELECT CAST(o_orderkey % 10 AS BIGINT) AS rank, median(o_totalprice) AS middle FROM orders GROUP BY 1")
 def _median_reward(spark, d):
     return _t(spark, d, "orders").groupBy((F.col("o_orderkey") % 10).cast("long").alias("rank")).agg(F.coalesce(F.median("o_totalprice"), F.lit(0.0)).alias("middle"))
+
+
+# --- the same computations as streams ------------------------------------------------------------------------------
+
+
+def _drained(spark, stream, mode: str):
+    """All that a stream has to say about the files that are there now, by way of the cluster's shared folder."""
+    import tempfile
+    import uuid
+
+    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.gettempdir()}/stream_{uuid.uuid4().hex}"
+
+    def keep(batch, epoch):  # a repeated batch writes the same folder again
+        batch.write.mode("overwrite").parquet(f"{folder}/out" if mode == "complete" else f"{folder}/out/epoch={epoch}")
+
+    query = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+def _event_stream(spark, d):
+    return spark.readStream.schema(_t(spark, d, "events").schema).parquet(f"{d}/event*.parquet")
+
+
+@_query("SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n, max(value) AS max_value FROM events GROUP BY 1, 2")
+def _stream_windows_live(spark, d):
+    """Tumbling windows kept by a running stream (update by trigger, complete output)."""
+    out = st.windowed(_event_stream(spark, d), "1 day", "1 day")
+    return _drained(spark, out, "complete").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@_query("SELECT event_id, event_type FROM events")
+def _stream_without_repeats_live(spark, d):
+    """Results that arrive twice count once: the stream is unioned with itself."""
+    rows = _event_stream(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
+    return _drained(spark, st.without_repeats(rows.union(rows), ["event_id"], "60 days").select("event_id", "event_type"), "append")
