@@ -236,7 +236,7 @@ def _drained(spark, stream, mode: str):
 
     query = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out").select(*stream.columns)
 
 
 def _event_stream(spark, d):
