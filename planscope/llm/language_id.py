@@ -5,8 +5,8 @@ A text's bit margins are compared with the codewords by loss-weighted decoding:
 sum of logistic losses, each bit weighted by how well it did in training, wins; a text whose two best
 languages lie closer than ``AMBIGUOUS`` in probability is flagged.
 
-The fit takes at most ``SAMPLE_PER_LANGUAGE`` documents of each language (smallest hash of doc_id), with whole
-texts, on the driver; prediction covers every row in a vectorised pandas UDF.
+The fit takes at most ``SAMPLE_PER_LANGUAGE`` documents of each language (smallest hash of doc_id), ``SAMPLE_ROWS`` in
+all, with whole texts, on the driver; prediction covers every row in a vectorised pandas UDF.
 
 Defined cases: ``und`` with score 0.0 for null texts, texts without a letter, or when nothing was learnt;
 null lang is not learnt from; a single language is always predicted with score 1.0; ties go to the language
@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from planscope.llm import char_grams as g
 from planscope.llm.common import fold, table
 
-SAMPLE_PER_LANGUAGE = 1500
+#: Bounds of the fit: documents per language, and in all (many languages get fewer each, 20 at least).
+SAMPLE_PER_LANGUAGE, SAMPLE_ROWS = 1500, 8000
 FEATURES = 2500
 SIZES = (1, 2, 3)
 AMBIGUOUS = 0.2
@@ -107,8 +108,10 @@ def fit_texts(texts: list[str], langs: list[str], features: int = FEATURES) -> L
 
 
 def fit(docs: DataFrame, *, per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageModel:
-    """``docs``: doc_id, text, lang. At most ``per_language`` documents of each language reach the driver."""
+    """``docs``: doc_id, text, lang. At most ``per_language`` documents of each language reach the driver, and at most
+    ``SAMPLE_ROWS`` in all where there are fewer than 400 languages."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    per_language = max(20, min(per_language, SAMPLE_ROWS // max(1, known.select("lang").distinct().count())))
     order = Window.partitionBy("lang").orderBy(F.col("h"), F.col("doc_id"))
     ids = known.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language)
     got = known.select("doc_id", "lang", "text").join(ids.select("doc_id", "lang").distinct(), ["doc_id", "lang"])
