@@ -6,8 +6,8 @@ all its occurrences of that pair from left to right, and compacts the array; wor
 leave. Merging all occurrences at once equals merging one at a time because every merge ranks after the
 merges that make its parts (checked when the vocabulary is loaded).
 
-Words already encoded are kept per Python worker in a table that is emptied when it reaches
-``CACHE_WORDS`` words, so memory does not grow with the corpus.
+Words already encoded are kept during a task in a table that is emptied when it reaches ``CACHE_WORDS`` words, so
+memory does not grow with the corpus.
 
 Defined cases: null text is the empty text (no tokens, the hash of the empty string); texts are never cut;
 repeated rows give repeated results; strings of special tokens in the text become those tokens, as the
@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from planscope.llm.common import release_memory
+
 CACHE_WORDS = 250_000
 #: Words with at least so many characters are not kept: they are rare and large.
 LONG_WORD = 200
@@ -239,25 +241,31 @@ def encode_documents(docs: DataFrame, path: str, *, text_col: str = "text", with
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t if t is not None else "" for t in batch.column(place).to_pylist()]
-            for lo, hi in _chunks(texts):
-                n, ids, decoded, ids_sha, decoded_sha = [], [], [], [], []
-                for id_text, plain, count in encode_texts(texts[lo:hi], path):
-                    n.append(count)
-                    if with_ids:
-                        ids.append(np.fromstring(id_text, dtype=np.int32, sep=" ") if id_text else np.zeros(0, np.int32))
-                    if with_text:
-                        decoded.append(plain)
-                    ids_sha.append(hashlib.sha256(id_text.encode()).hexdigest())
-                    decoded_sha.append(hashlib.sha256(plain.encode("utf-8", "surrogatepass")).hexdigest())
-                out = [c.slice(lo, hi - lo) for c in batch.columns[:place]] + [pa.array(n, pa.int64())]
+            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
+                yield from encoded(part)
+        vocabulary(path).cache.clear()
+        release_memory()
+
+    def encoded(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        texts = [t if t is not None else "" for t in batch.column(place).to_pylist()]
+        for lo, hi in _chunks(texts):
+            n, ids, decoded, ids_sha, decoded_sha = [], [], [], [], []
+            for id_text, plain, count in encode_texts(texts[lo:hi], path):
+                n.append(count)
                 if with_ids:
-                    ends = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
-                    out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids))))
+                    ids.append(np.fromstring(id_text, dtype=np.int32, sep=" ") if id_text else np.zeros(0, np.int32))
                 if with_text:
-                    out.append(pa.array(decoded, pa.string()))
-                out += [pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())]
-                yield pa.RecordBatch.from_arrays(out, names=names)
+                    decoded.append(plain)
+                ids_sha.append(hashlib.sha256(id_text.encode()).hexdigest())
+                decoded_sha.append(hashlib.sha256(plain.encode("utf-8", "surrogatepass")).hexdigest())
+            out = [c.slice(lo, hi - lo) for c in batch.columns[:place]] + [pa.array(n, pa.int64())]
+            if with_ids:
+                ends = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
+                out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids))))
+            if with_text:
+                out.append(pa.array(decoded, pa.string()))
+            out += [pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())]
+            yield pa.RecordBatch.from_arrays(out, names=names)
 
     rows = docs.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{text_col}`").alias("__text"))
     return rows.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType) for f in fields]))

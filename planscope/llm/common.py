@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,3 +39,19 @@ def ascii_lower(c: Column) -> Column:
 def fold(doc_id: Column, folds: int = 5) -> Column:
     """crc32 of the id as text, modulo ``folds``; null ids count as the empty text (fold 0)."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % F.lit(folds)
+
+
+def text_slices(column, rows: int = 256) -> Iterator[list]:
+    """The values of an Arrow column, a few hundred at a time, so that a large batch isn't held twice."""
+    for lo in range(0, len(column), rows):
+        yield column.slice(lo, rows).to_pylist()
+
+
+def release_memory() -> None:
+    """Give memory that a task no longer needs back to the system: Python workers outlive tasks and stages."""
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

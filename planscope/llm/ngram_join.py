@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from planscope.llm import shingles
-from planscope.llm.common import checkpointed, table
+from planscope.llm.common import checkpointed, release_memory, table, text_slices
 from planscope.llm.components import connected_components
 from planscope.llm.url_filter import may_contain
 
@@ -78,7 +78,7 @@ def _describe(words: int):
         sketch, seen = np.zeros(1 << SKETCH_BITS, dtype=np.int64), set()
         for batch in batches:
             out = ([], [], [])
-            for s in shingles.shingle_sets(batch.column(1).to_pylist(), words):
+            for s in (s for texts in text_slices(batch.column(1)) for s in shingles.shingle_sets(texts, words)):
                 name = shingles.set_signature(s)
                 out[0].append(name)
                 out[1].append(len(s))
@@ -95,6 +95,7 @@ def _describe(words: int):
             )
         parts = sketch.reshape(SLICES, -1)
         if sketch.any():
+            release_memory()
             none = pa.nulls(SLICES, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [none, none, none, none, pa.nulls(SLICES, pa.binary()), pa.array(range(SLICES), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())],
@@ -127,7 +128,7 @@ def _postings(words: int, percent: int, sketch):
         counts, seen = sketch.value, set()
         for batch in batches:
             token, name, place = [], [], []
-            for s in shingles.shingle_sets(batch.column(0).to_pylist(), words):
+            for s in (s for texts in text_slices(batch.column(0)) for s in shingles.shingle_sets(texts, words)):
                 own = shingles.set_signature(s)
                 if not len(s) or own in seen:
                     continue
@@ -144,6 +145,7 @@ def _postings(words: int, percent: int, sketch):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(token).view(np.int64)), pa.array(np.concatenate(name)), pa.array(np.concatenate(place))], names=["token", "class", "place"]
                 )
+        release_memory()
 
     return run
 
@@ -202,6 +204,8 @@ def _bucket_pairs(percent: int):
             carry = [c[last:] for c in cols]
         if carry is not None and len(carry[0]):
             yield from work(*carry)
+        carry = None
+        release_memory()
 
     return run
 
@@ -254,7 +258,7 @@ def _sets(words: int):
     """(class, n, tokens) from (class, n, text); a text of another class (rows that share an id) gives none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
             name, n, tokens = [], [], []
             for own, s in zip(batch.column(0).to_pylist(), shingles.shingle_sets(batch.column(2).to_pylist(), words), strict=True):
                 if shingles.set_signature(s) == own:
@@ -262,6 +266,7 @@ def _sets(words: int):
                     n.append(len(s))
                     tokens.append(s.view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(name, pa.int64()), pa.array(n, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], names=["class", "n", "tokens"])
+        release_memory()
 
     return run
 
@@ -355,3 +360,16 @@ def ngram_join_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = jaccard_components(docs, words=5, percent=80)
     gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select("doc_id", "text", "lang", "source", "n_chars")
+
+
+_WORDS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+ORACLE = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct([array_to_string(w[i:i + 3], ' ') FOR i IN range(1, len(w) - 2)]) END AS s FROM w),
+e AS (SELECT doc_id, unnest(s) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE 100 * i >= 85 * (len(x.s) + len(y.s) - i)),
+c(doc_id, root) AS (SELECT doc_id, doc_id FROM s UNION SELECT l.b, c.root FROM c JOIN l ON c.doc_id = l.a)
+SELECT s.doc_id, len(s.s) AS n_shingles, min(c.root) AS component_id FROM s JOIN c ON c.doc_id = s.doc_id GROUP BY s.doc_id, len(s.s)
+"""

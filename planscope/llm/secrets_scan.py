@@ -134,3 +134,21 @@ def op4_secret_scan(spark, sf_dir: str) -> DataFrame:
         "doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"),
         F.sha2(span_text(base).cast("binary"), 256).alias("base_sha256"), span_text(F.col("findings")).alias("spans"),
     )
+
+
+def _oracle() -> str:
+    """Spans from the pieces and matches of each rule, in DuckDB."""
+    part = """SELECT doc_id, {n} AS rule, '{kind}' AS kind, {base} AS base, pos[1] AS "start", pos[1] + len(m[i]) AS "end" FROM (
+      SELECT doc_id, m, g, i, [list_sum([len(x) FOR x IN s[1:i]]) + coalesce(list_sum([len(x) FOR x IN m[1:i - 1]]), 0)] AS pos FROM (
+        SELECT doc_id, s, m, g, unnest(range(1, len(m) + 1)) AS i FROM (
+          SELECT doc_id, string_split_regex(t, '{p}') AS s, regexp_extract_all(t, '{p}', 0) AS m, regexp_extract_all(t, '{p}', {g}) AS g
+          FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)))) WHERE len(g[i]) >= {least}"""
+    rows = " UNION ALL ".join(part.format(n=i, kind=r.kind, base=r.base, p=r.pattern.replace("'", "''"), g=r.group, least=r.least) for i, r in enumerate(RULES))
+    return f"""WITH f AS ({rows}), a AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+      count(*) FILTER (kind = 'hex') AS n_hex, string_agg(kind || ':' || "start" || ':' || "end", ',' ORDER BY "start", rule) FILTER (base) AS b,
+      string_agg(kind || ':' || "start" || ':' || "end", ',' ORDER BY "start", rule) AS spans FROM f GROUP BY doc_id)
+    SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans
+    FROM documents LEFT JOIN a USING (doc_id)"""
+
+
+ORACLE = _oracle()

@@ -66,7 +66,7 @@ _MASK = (1 << 16) - 1
 _POWER, _BACK = _powers(_P, 1 << 16), _powers(_INVERSE, 1 << 16)
 
 
-def batches(texts: list[str | None], size: int = 4_000_000) -> Iterator[tuple[int, int]]:
+def batches(texts: list[str | None], size: int = 1_000_000) -> Iterator[tuple[int, int]]:
     lo = 0
     while lo < len(texts):
         hi, n = lo, 0

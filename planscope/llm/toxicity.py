@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from planscope.llm import char_grams as g
-from planscope.llm.common import fold, table
+from planscope.llm.common import fold, release_memory, table
 
 SAMPLE_ROWS = 8000
 FEATURES = 3000
@@ -80,7 +80,9 @@ def score_documents(docs: DataFrame, model: ToxicityModel, *, text_col: str = "t
 
     @F.pandas_udf("double")
     def score(text: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.score([t if t is not None else "" for t in text.tolist()]))
+        out = pd.Series(shared.value.score([t if t is not None else "" for t in text.tolist()]))
+        release_memory()
+        return out
 
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("score", "predicted")]
     return docs.select(*kept, score(F.col(text_col)).alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
