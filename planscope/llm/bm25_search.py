@@ -13,7 +13,8 @@ bounded by these, and further blocks run over the index again. For each block:
    documents fully: their k-th score is the threshold. A document stays a candidate while its sum so far plus the
    block maxima of the terms not yet added reaches the threshold, the WAND condition taken for all documents at
    once; frequent terms are added, rarest first, only until few candidates are left, which are then scored fully;
-4. the shards' top k per query are merged to the top k of all.
+4. a task works through its shards one by one, with the k-th score so far as the threshold to start from, and
+   the tasks' top k per query are merged to the top k of all.
 
 Scores use statistics of all documents, and a document that ties with the threshold is scored, so the result equals
 that of scoring everything. Ties go to the smaller doc_id. A query finds its own document too. Documents without a
@@ -34,11 +35,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from planscope.llm import shingles
-from planscope.llm.common import checkpointed, table
+from planscope.llm.common import checkpointed, release_memory, table, text_slices
 
 K1, B = 1.2, 0.75
 QUERIES, TERMS = 8192, 2_000_000
-SHARD_DOCS = 32_768
+#: A shard closes when it has so many documents or postings: this bounds a task's memory.
+SHARD_DOCS, SHARD_POSTINGS = 32_768, 2_500_000
 DOCS = 16
 #: Terms in more than one of so many documents of a shard are frequent: pruned by block maxima.
 FREQUENT = 32
@@ -78,7 +80,7 @@ def _forward(vocabulary):
         words = vocabulary.value
         for batch in batches:
             length, own, counts = [], [], []
-            for t, c in term_counts(batch.column(1).to_pylist()):
+            for t, c in (x for texts in text_slices(batch.column(1)) for x in term_counts(texts)):
                 at = np.searchsorted(words, t)
                 at[at == len(words)] = 0
                 known = words[at] == t
@@ -88,6 +90,7 @@ def _forward(vocabulary):
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(length, pa.int64()), pa.array(own, pa.binary()), pa.array(counts, pa.binary())], names=["doc_id", "length", "terms", "counts"]
             )
+        release_memory()
 
     return run
 
@@ -109,17 +112,22 @@ class Shard:
 
     def __init__(self, doc_ids: np.ndarray, lengths: np.ndarray, terms: np.ndarray, counts: np.ndarray, per_doc: np.ndarray, idf: np.ndarray, mean: float):
         order = np.lexsort((doc_ids, lengths))  # documents of like length share a block: their maxima are close
-        start = np.concatenate(([0], np.cumsum(per_doc)))
-        moved = np.concatenate([np.arange(start[i], start[i + 1]) for i in order]) if len(order) else np.zeros(0, np.int64)
+        place = np.empty(len(order), dtype=np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        doc = np.repeat(place, per_doc)
         self.doc_ids, lengths, per_doc = doc_ids[order], lengths[order], per_doc[order]
         self.n = len(doc_ids)
         self.mean_terms = len(terms) / max(1, self.n)
-        doc = np.repeat(np.arange(self.n), per_doc)
+        moved = np.argsort(doc, kind="stable").astype(np.int32)
+        doc, self.terms, tf = doc[moved], terms[moved], counts[moved].astype(np.float64)
+        del moved
         self.start = np.concatenate(([0], np.cumsum(per_doc)))
-        self.terms, tf = terms[moved], counts[moved].astype(np.float64)
-        self.parts = idf[self.terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / mean))
-        by_term = np.argsort(self.terms, kind="stable")
+        weight = K1 * (1 - B + B * lengths / mean)
+        self.parts = idf[self.terms] * tf * (K1 + 1) / (tf + weight[doc])
+        del tf
+        by_term = np.argsort(self.terms, kind="stable").astype(np.int32)
         self.post_doc, self.post_part = doc[by_term], self.parts[by_term]
+        del by_term, doc
         self.post = np.concatenate(([0], np.cumsum(np.bincount(self.terms, minlength=len(idf)))))
         df = np.diff(self.post)
         self.frequent = df > max(16, self.n // FREQUENT)
@@ -152,8 +160,9 @@ class Shard:
         docs = np.concatenate([self.post_doc[a:b] for a, b in spans])
         return sums + np.bincount(docs, weights=np.concatenate([self.post_part[a:b] for a, b in spans]), minlength=self.n)
 
-    def top(self, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
-        """Documents and scores of the top k, and how many documents were scored fully."""
+    def top(self, query: np.ndarray, k: int, floor: float = 0.0) -> tuple[np.ndarray, np.ndarray, int]:
+        """Documents and scores of the top k, and how many documents were scored fully. ``floor`` is a score that k
+        documents of other shards reach: documents below it don't count."""
         often = self.frequent[query]
         rare, common = query[~often], query[often]
         common = common[np.argsort(self.post[common + 1] - self.post[common], kind="stable")]
@@ -161,7 +170,7 @@ class Shard:
         pick = min(self.n, 3 * k)
         likely = np.argpartition(sums, self.n - pick)[self.n - pick :]
         scores = self.full(likely, query)
-        threshold = np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) >= k else 0.0
+        threshold = max(floor, np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) >= k else 0.0)
         step = 4
         while True:
             # sums are lower bounds of the scores, with the block maxima of the terms not yet added upper bounds
@@ -189,31 +198,43 @@ def _search(shared, k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         s = shared.value
         held: list[pd.DataFrame] = []
+        # the task's top k of each query so far: its k-th score prunes the shards to come
+        best = [(np.zeros(0, np.int64), np.zeros(0))] * len(s["qid"])
 
-        def answer() -> Iterator[pd.DataFrame]:
-            rows = pd.concat(held)
+        def answer() -> None:
+            rows = pd.concat(held)  # the parts go
             held.clear()
             per_doc = rows["terms"].map(len).to_numpy() // 4
             shard = Shard(
                 rows["doc_id"].to_numpy(dtype=np.int64), rows["length"].to_numpy(dtype=float), np.frombuffer(b"".join(rows["terms"]), dtype=np.int32),
                 np.frombuffer(b"".join(rows["counts"]), dtype=np.int32), per_doc, s["idf"], s["mean"],
             )
-            out = []
-            for q, qid in enumerate(s["qid"]):
-                docs, scores, seen = shard.top(s["terms"][s["start"][q] : s["start"][q + 1]], k)
-                out.append((np.full(len(docs), q), np.full(len(docs), qid), shard.doc_ids[docs], scores, np.full(len(docs), seen)))
-            yield pd.DataFrame(dict(zip(["query", "qid", "doc_id", "score", "scored"], map(np.concatenate, zip(*out, strict=True)), strict=True)))
-
-        n = 0
+            del rows, per_doc
+            for q in range(len(best)):
+                ids, scores = best[q]
+                docs, found, _ = shard.top(s["terms"][s["start"][q] : s["start"][q + 1]], k, scores[-1] if len(scores) == k else 0.0)
+                if len(docs):
+                    ids, scores = np.concatenate([ids, shard.doc_ids[docs]]), np.concatenate([scores, found])
+                    first = np.lexsort((ids, -scores))[:k]
+                    best[q] = ids[first], scores[first]
+
+        n = postings = 0
         for b in batches:
             if len(b):
                 held.append(b)
-                n += len(b)
-            if n >= SHARD_DOCS:
-                yield from answer()
-                n = 0
+                n, postings = n + len(b), postings + b["terms"].map(len).sum() // 4
+            if n >= SHARD_DOCS or postings >= SHARD_POSTINGS:
+                answer()
+                n = postings = 0
         if held:
-            yield from answer()
+            answer()
+        counts = [len(ids) for ids, _ in best]
+        if sum(counts):
+            yield pd.DataFrame({
+                "query": np.repeat(np.arange(len(best)), counts), "qid": np.repeat(np.array(s["qid"], dtype=np.int64), counts),
+                "doc_id": np.concatenate([ids for ids, _ in best]), "score": np.concatenate([x for _, x in best]),
+            })
+        release_memory()
 
     return run
 
@@ -251,8 +272,8 @@ def _block(spark, docs: DataFrame, queries: list[tuple[int, np.ndarray]], k: int
         "idf": idf, "mean": max(float(total.mean or 0), 1e-9), "qid": [q for q, _ in queries],
         "terms": np.concatenate([np.searchsorted(words, t) for _, t in queries]), "start": np.concatenate(([0], np.cumsum([len(t) for _, t in queries]))),
     })
-    shards = max(spark.sparkContext.defaultParallelism, -(-total.n // SHARD_DOCS))
-    found = rows.coalesce(shards).mapInPandas(_search(shared, k), "query int, qid bigint, doc_id bigint, score double, scored bigint")
+    shards = max(2 * spark.sparkContext.defaultParallelism, -(-total.n // SHARD_DOCS))
+    found = rows.coalesce(shards).mapInPandas(_search(shared, k), "query int, qid bigint, doc_id bigint, score double")
     best = Window.partitionBy("query").orderBy(F.col("score").desc(), F.col("doc_id"))
     found = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return found.select("qid", "rank", "doc_id", "score")
@@ -261,4 +282,17 @@ def _block(spark, docs: DataFrame, queries: list[tuple[int, np.ndarray]], k: int
 def op5_bm25_search(spark, sf_dir: str) -> DataFrame:
     """Queries: the whole text of every document whose id is divisible by 50; hits: all documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return search(docs, docs.where("doc_id % 50 = 0"))
+    return search(docs, docs.where("doc_id % 50 = 0")).withColumn("score", F.round("score", 6))
+
+
+_TOKENS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x5E\x60\x7B-\x7F]+'), lambda x: x <> '')"
+ORACLE = f"""
+WITH w AS (SELECT doc_id, {_TOKENS} AS w FROM documents WHERE doc_id IS NOT NULL),
+n AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM w),
+e AS (SELECT doc_id, t, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS t FROM w) GROUP BY ALL),
+f AS (SELECT t, count(*) AS df FROM e GROUP BY t),
+q AS (SELECT doc_id AS qid, t, ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) AS idf FROM e JOIN f USING (t), n WHERE doc_id % 50 = 0),
+s AS (SELECT qid, e.doc_id, round(sum(idf * tf * ({K1}::DOUBLE + 1) / (tf + {K1}::DOUBLE * (1 - {B}::DOUBLE + {B}::DOUBLE * len(w.w) / mean))), 6) AS score
+  FROM q JOIN e USING (t) JOIN w ON w.doc_id = e.doc_id, n GROUP BY ALL)
+SELECT qid, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10
+"""

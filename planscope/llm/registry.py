@@ -23,7 +23,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    out = {"op6_url_filter": url_filter.ORACLE}
+    out = {"op3_ngram_join": ngram_join.ORACLE, "op4_secret_scan": secrets_scan.ORACLE, "op5_bm25_search": bm25_search.ORACLE, "op6_url_filter": url_filter.ORACLE}
     if corpus_pipeline.ORACLE_SQL:
         out["pipeline"] = corpus_pipeline.ORACLE_SQL
     return out
