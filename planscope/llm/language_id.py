@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from planscope.llm import char_grams as g
-from planscope.llm.common import fold, table
+from planscope.llm.common import fold, release_memory, table
+from planscope.llm.url_filter import may_contain
 
 #: Bounds of the fit: documents per language, and in all (many languages get fewer each, 20 at least).
 SAMPLE_PER_LANGUAGE, SAMPLE_ROWS = 1500, 8000
@@ -114,7 +115,10 @@ def fit(docs: DataFrame, *, per_language: int = SAMPLE_PER_LANGUAGE) -> Language
     per_language = max(20, min(per_language, SAMPLE_ROWS // max(1, known.select("lang").distinct().count())))
     order = Window.partitionBy("lang").orderBy(F.col("h"), F.col("doc_id"))
     ids = known.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language)
-    got = known.select("doc_id", "lang", "text").join(ids.select("doc_id", "lang").distinct(), ["doc_id", "lang"])
+    ids = ids.select("doc_id", "lang").distinct()
+    # the Bloom filter keeps other texts out of the join's shuffle
+    texts = may_contain(known.select("doc_id", "lang", "text"), "doc_id", ids, "doc_id")
+    got = texts.join(ids, ["doc_id", "lang"])
     got = got.toPandas().sort_values(["doc_id", "lang", "text"])
     return fit_texts(got["text"].tolist(), got["lang"].tolist())
 
@@ -126,6 +130,7 @@ def identify(docs: DataFrame, model: LanguageModel, *, text_col: str = "text") -
     @F.pandas_udf("lang_pred string, score double, ambiguous boolean")
     def predict(text: pd.Series) -> pd.DataFrame:
         names, score, close = shared.value.predict(text.tolist())
+        release_memory()
         return pd.DataFrame({"lang_pred": pd.Series(names, dtype=object), "score": score, "ambiguous": close})
 
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score", "ambiguous")]
