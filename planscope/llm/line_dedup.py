@@ -1,14 +1,18 @@
 """Line dedup by pairwise alignment: documents that share rare lines are aligned with patience diff, and the
 aligned common blocks are deleted from the later document (the one with the larger id).
 
-Only line hashes move. A line of ``MIN_WORDS`` words or more that several documents hold pairs every holder with
-the first one (its least id): a number of pairs linear in the lines, however many documents share a line, so
-neither rare nor frequent lines need a cap. A document's pairs keep the rarity of their rarest line. Within a
-pair, lines unique on both sides are matched along a longest increasing subsequence, matches grow over equal
+Only line hashes move. A block contains a shortest run of lines that reaches ``MIN_WORDS`` words, from its first or to
+its last line, so documents that share such a run, whatever the length of its lines, are candidates. Documents with
+equal lines are one kind: the first stands for all, the others go whole. Every run that several kinds hold pairs its
+holders with the first one (its least id): a number of pairs linear in the lines, however many documents share a run.
+Within a pair, lines unique on both sides are matched along a longest increasing subsequence, matches grow over equal
 neighbours, and the gaps between are aligned likewise. A run of aligned lines with ``MIN_WORDS`` words or more in
 all is a block. A deleted line always has an equal line in an earlier document, and the first document that holds
 a line keeps it, so no content is lost.
 
+``dedup_lines`` without ``whole`` is the narrower rule that ``test_against_a_loop`` states: only lines of ``MIN_WORDS``
+words or more make pairs, each with the first holder. The query and the pipeline stage use ``whole``.
+
 Defined cases: null and empty texts stay as they are; rows with a null id are neither aligned nor changed; rows that
 share an id are versions of one document and not compared with each other, each loses its own lines; lines are
 compared without the white space around them; lines repeated inside one document stay. A document all of whose
@@ -18,15 +22,19 @@ lines go keeps an empty text in ``dedup_lines``; the pipeline stage drops it. Ex
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planscope.llm.common import WORD, checkpointed, table
+from planscope.llm.common import WORD, checkpointed, release_memory, table
 
 MIN_WORDS = 10
+BASE = 0x9E3779B97F4A7C15  # of the hashes of runs; odd, so that it has an inverse
 
 
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -121,9 +129,74 @@ def deleted_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return out
 
 
-def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def _runs(least: int):
+    """(doc_id, version, run, start, stop): hash and place of the shortest runs of lines with ``least`` words, from and to each line."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = pc.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False).astype(np.int64)
+            line = batch.column(2).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            words = batch.column(3).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            row, place = np.repeat(np.arange(len(size)), size), np.arange(len(line))
+            low = np.repeat(np.cumsum(size) - size, size)
+            high = low + np.repeat(size, size)
+            after = np.cumsum(words)
+            before = after - words
+            stop = np.searchsorted(after, before + least, side="left")
+            start = np.searchsorted(before, after - least, side="right") - 1
+            down, up = stop < high, start >= low
+            ends = np.stack([np.append(place[down], start[up]), np.append(stop[down], place[up])], 1)
+            first, last = np.unique(ends, axis=0).T if len(ends) else ends.T
+            # a polynomial of the line hashes, modulo 2**64, from prefix sums
+            power = np.cumprod(np.append(np.uint64(1), np.full(len(line), BASE, dtype=np.uint64)))
+            back = np.cumprod(np.append(np.uint64(1), np.full(len(line), pow(BASE, -1, 1 << 64), dtype=np.uint64)))
+            total = np.append(np.uint64(0), np.cumsum(line * power[:-1]))
+            name = (total[last + 1] - total[first]) * back[first]
+            of = pa.array(row[first])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(of), batch.column(1).take(of), pa.array(name.view(np.int64)), pa.array((first - low[first]).astype(np.int32)), pa.array((last - low[first]).astype(np.int32))],
+                names=["doc_id", "version", "run", "start", "stop"],
+            )
+        release_memory()
+
+    return run
+
+
+def aligned_lines(pairs: DataFrame, lines: DataFrame, least: int) -> DataFrame:
+    """(doc_id, version, deleted): common blocks of the pairs (doc_id, version, other)."""
+    earlier = lines.select(F.col("doc_id").alias("other"), F.col("lines").alias("theirs"))
+
+    @F.pandas_udf("array<int>")
+    def blocks(a: pd.Series, w: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([np.array(common_blocks(x.tolist(), y.tolist(), z.tolist(), least), dtype=np.int32) for x, y, z in zip(a, w, b, strict=True)], dtype=object)
+
+    found = pairs.join(earlier, "other").join(lines, ["doc_id", "version"]).select("doc_id", "version", blocks("lines", "words", "theirs").alias("gone"))
+    # pairs may be many, but there are no more distinct lines than the document has
+    each = found.select("doc_id", "version", F.explode("gone").alias("line")).groupBy("doc_id", "version")
+    return each.agg(F.collect_set("line").alias("deleted"))
+
+
+def whole_deleted_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, version, deleted): numbers of the lines (from 0) that go, for documents that lose any."""
+    lines = checkpointed(line_table(docs).dropDuplicates(["doc_id", "version"]).withColumn("kind", F.xxhash64("lines")))
+    kinds = lines.groupBy("kind").agg(F.min("doc_id").alias("origin"), F.max("doc_id").alias("last")).where("origin <> last").drop("last")
+    lines = checkpointed(lines.join(kinds, "kind", "left").drop("kind"))
+    total = F.aggregate("words", F.lit(0), lambda x, y: x + y)
+    copies = lines.where((F.col("doc_id") > F.col("origin")) & (total >= min_words))
+    copies = copies.select("doc_id", "version", F.sequence(F.lit(0), F.size("lines") - 1).alias("deleted"))
+    lines = lines.where("origin is null or doc_id = origin").drop("origin")
+
+    runs = lines.select("doc_id", "version", "lines", "words").mapInArrow(_runs(min_words), "doc_id bigint, version bigint, run bigint, start int, stop int")
+    holders = runs.groupBy("run").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last").drop("last")
+    shared = checkpointed(runs.join(holders, "run"))
+    later = shared.where("doc_id > first")
+    deleted = aligned_lines(later.select("doc_id", "version", F.col("first").alias("other")).distinct(), lines, min_words)
+    return deleted.unionByName(copies)
+
+
+def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, whole: bool = False) -> DataFrame:
     """``docs`` with the common blocks deleted from the text, and deleted_lines (their numbers, sorted)."""
-    gone = deleted_lines(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), min_words)
+    gone = (whole_deleted_lines if whole else deleted_lines)(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), min_words)
     gone = gone.select(F.col("doc_id").alias("__id"), F.col("version").alias("__version"), "deleted")
     rows = docs.drop("deleted_lines", "deleted").withColumn("__of", F.xxhash64(F.col(text_col)))
     rows = rows.join(gone, (F.col(id_col).cast("long") == F.col("__id")) & (F.col("__of") == F.col("__version")), "left")
@@ -135,12 +208,12 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 
 def op2_line_dedup(spark, sf_dir: str) -> DataFrame:
-    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), whole=True)
     return out.select("doc_id", F.size("deleted_lines").cast("long").alias("n_deleted"), "deleted_lines", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
 def line_dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents lose their common blocks; those of which nothing but white space is left go."""
-    out = dedup_lines(docs)
+    out = dedup_lines(docs, whole=True)
     left = out.where((F.size("deleted_lines") == 0) | F.col("text").rlike(WORD))
     return left.select("doc_id", "text", "lang", "source", F.when(F.size("deleted_lines") == 0, F.col("n_chars")).otherwise(F.char_length("text").cast("long")).alias("n_chars"))

@@ -66,3 +66,17 @@ def test_nulls_repeats_and_empty(spark):
         [("1", text, 0), ("None", text, 0), ("None", "", 0), ("2", "", 2), ("2", "", 2), ("2", "other", 2)]
     )
     assert ld.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def every_pair(rows, least):
+    """Aligned with all earlier documents, whatever they share."""
+    docs = [(d, [x.strip(" \t\n\v\f\r") for x in (t or "").split("\n")]) for d, t in rows if d is not None]
+    blocks = lambda a, b: ld.common_blocks([hash(x) for x in a], [len(x.split()) for x in a], [hash(x) for x in b], least)
+    return {d: sorted({i for e, other in docs if e < d for i in blocks(lines, other)}) for d, lines in docs}
+
+
+def test_runs_of_short_lines_make_pairs(spark):
+    verse = [f"verse {i} has but eight short words here" for i in range(8)]
+    rows = [(1, "\n".join(verse)), (2, "\n".join(["a new head", *verse[:4], "", *verse[4:], "a new foot"])), (3, "one two three\n\nfour five"), (4, "x\none two three\n\nfour five")]
+    got = {r.doc_id: list(r.deleted_lines) for r in ld.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), whole=True).collect()}
+    assert got == every_pair(rows, ld.MIN_WORDS) == {1: [], 2: [1, 2, 3, 4, 6, 7, 8, 9], 3: [], 4: []}
