@@ -5,6 +5,9 @@ Only line hashes move. A block contains a shortest run of lines that reaches ``M
 its last line, so documents that share such a run, whatever the length of its lines, are candidates. Documents with
 equal lines are one kind: the first stands for all, the others go whole. Every run that several kinds hold pairs its
 holders with the first one (its least id): a number of pairs linear in the lines, however many documents share a run.
+Where that leaves a line of a run (the first holder has it in another order or beside repeats), its document is paired
+with the next 3, 12, 48, ... holders until the run is gone or all earlier holders were aligned. So the result is that of
+all pairs; only lines that most of their many earlier holders can't align cost more than a few pairs.
 Within a pair, lines unique on both sides are matched along a longest increasing subsequence, matches grow over equal
 neighbours, and the gaps between are aligned likewise. A run of aligned lines with ``MIN_WORDS`` words or more in
 all is a block. A deleted line always has an equal line in an earlier document, and the first document that holds
@@ -23,12 +26,13 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from planscope.llm.common import WORD, checkpointed, release_memory, table
@@ -190,8 +194,32 @@ def whole_deleted_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFram
     holders = runs.groupBy("run").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last").drop("last")
     shared = checkpointed(runs.join(holders, "run"))
     later = shared.where("doc_id > first")
-    deleted = aligned_lines(later.select("doc_id", "version", F.col("first").alias("other")).distinct(), lines, min_words)
-    return deleted.unionByName(copies)
+    deleted = [checkpointed(aligned_lines(later.select("doc_id", "version", F.col("first").alias("other")).distinct(), lines, min_words))]
+
+    # holders that the first pass left: (run, place) by place; few runs have any
+    left = checkpointed(_undeleted(later.drop("first"), deleted[0]))
+    ids = shared.select("run", "doc_id").distinct().join(left.select("run").distinct(), "run", "left_semi")
+    ranked = checkpointed(ids.withColumn("rank", F.row_number().over(Window.partitionBy("run").orderBy("doc_id"))))
+    left = left.join(ranked, ["run", "doc_id"])
+    tried, upto = 1, 4
+    while not (left := checkpointed(left.where(F.col("rank") > tried + 1))).isEmpty():
+        others = ranked.where((F.col("rank") > tried) & (F.col("rank") <= upto)).select("run", F.col("doc_id").alias("other"))
+        pairs = left.join(others, "run").where("other < doc_id").select("doc_id", "version", "other").distinct()
+        deleted.append(checkpointed(aligned_lines(pairs, lines, min_words)))
+        left = _undeleted(left, _merged(deleted))
+        tried, upto = upto, 4 * upto
+    return _merged(deleted).unionByName(copies)
+
+
+def _merged(parts: list[DataFrame]) -> DataFrame:
+    each = reduce(DataFrame.unionByName, parts)
+    return each.groupBy("doc_id", "version").agg(F.array_distinct(F.flatten(F.collect_list("deleted"))).alias("deleted"))
+
+
+def _undeleted(runs: DataFrame, deleted: DataFrame) -> DataFrame:
+    """Those of ``runs`` of which some line is not deleted."""
+    stays = F.array_except(F.sequence("start", "stop"), F.coalesce("deleted", F.array().cast("array<int>")))
+    return runs.join(deleted, ["doc_id", "version"], "left").where(F.size(stays) > 0).drop("deleted")
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, whole: bool = False) -> DataFrame:

@@ -80,3 +80,15 @@ def test_runs_of_short_lines_make_pairs(spark):
     rows = [(1, "\n".join(verse)), (2, "\n".join(["a new head", *verse[:4], "", *verse[4:], "a new foot"])), (3, "one two three\n\nfour five"), (4, "x\none two three\n\nfour five")]
     got = {r.doc_id: list(r.deleted_lines) for r in ld.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), whole=True).collect()}
     assert got == every_pair(rows, ld.MIN_WORDS) == {1: [], 2: [1, 2, 3, 4, 6, 7, 8, 9], 3: [], 4: []}
+
+
+def test_further_holders_are_aligned(spark):
+    rng = random.Random(8)
+    line = lambda n: " ".join(f"w{rng.randrange(500)}" for _ in range(n))
+    pool = [line(rng.choice([3, 6, 12, 60])) for _ in range(12)] + ["", "a b"]
+    rows = [(i, "\n".join(rng.choice(pool) if rng.random() < 0.6 else line(rng.randint(0, 20)) for _ in range(rng.randint(1, 12)))) for i in range(120)]
+    rows += [(300 + i, rows[i][1]) for i in range(0, 40, 5)]
+    got = {r.doc_id: list(r.deleted_lines) for r in ld.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), whole=True).collect()}
+    want = every_pair(rows, ld.MIN_WORDS)
+    assert got == want
+    assert sum(map(len, want.values())) > sum(map(len, brute(rows, ld.MIN_WORDS).values())) + 20
