@@ -173,8 +173,6 @@ def _bucket_pairs(percent: int):
         carry, large = None, None
 
         def work(token, name, place):
-            keep = np.append(True, (token[1:] != token[:-1]) | (name[1:] != name[:-1]))  # a class that several tasks sent
-            token, name, place = token[keep], name[keep], place[keep]
             start = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
             length = np.diff(np.append(start, len(token)))
             many = np.repeat(length, length)
@@ -194,9 +192,12 @@ def _bucket_pairs(percent: int):
             cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
             if carry is not None:
                 cols = [np.concatenate(x) for x in zip(carry, cols, strict=True)]
+            # a class that several tasks sent counts once, so that what is held decides between small and large
+            keep = np.append(True, (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]))
+            cols = [c[keep] for c in cols]
             token = cols[0]
             last = np.searchsorted(token, token[-1], side="left")
-            if len(token) - last > SMALL * 64:  # a large column streams through
+            if len(token) - last > SMALL:  # a large column streams through
                 last = len(token)
             if last:
                 yield from work(*[c[:last] for c in cols])

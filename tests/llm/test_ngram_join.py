@@ -3,6 +3,8 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from planscope.llm import ngram_join as nj
@@ -98,3 +100,17 @@ def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(7, 7), (1, 0)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(1, 41)} | {i: 100 for i in range(101, 140)}
+
+
+@pytest.mark.parametrize("classes,copies,before", [(40, 240, 5000), (18, 240, 5681), (64, 200, 3000), (70, 240, 5000)])
+def test_columns_that_batches_cut_keep_all_links(classes, copies, before):
+    """Every two classes of a column are a pair or both members, however often tasks sent them and batches end."""
+    token = np.append(np.arange(before), np.full(classes * copies, before)).astype(np.int64)
+    name = np.append(np.full(before, -1), np.repeat(np.arange(classes), copies)).astype(np.int64)
+    place = np.full(len(token), 100 << 32, dtype=np.int64)
+    batches = [pa.RecordBatch.from_arrays([pa.array(c[i : i + 10_000]) for c in (token, name, place)], names=["token", "class", "place"]) for i in range(0, len(token), 10_000)]
+    out = [r for b in nj._bucket_pairs(85)(iter(batches)) for r in b.to_pylist()]
+    members = {r["a"] for r in out if r["b"] is None}
+    links = {(r["a"], r["b"]) for r in out if r["b"] is not None} | {(a, b) for a in members for b in members if a < b}
+    assert links == {(a, b) for a in range(classes) for b in range(a + 1, classes)}
+    assert bool(members) == (classes > nj.SMALL)
