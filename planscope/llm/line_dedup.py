@@ -1,44 +1,45 @@
-"""Line dedup by pairwise alignment: documents that share rare lines are aligned with patience diff, and the
-aligned common blocks are deleted from the later document (the one with the larger id).
-
-Only line hashes move. A block contains a shortest run of lines that reaches ``MIN_WORDS`` words, from its first or to
-its last line, so documents that share such a run, whatever the length of its lines, are candidates. Documents with
-equal lines are one kind: the first stands for all, the others go whole. Every run that several kinds hold pairs its
-holders with the first one (its least id): a number of pairs linear in the lines, however many documents share a run.
-Where that leaves a line of a run (the first holder has it in another order or beside repeats), its document is paired
-with the next 3, 12, 48, ... holders until the run is gone or all earlier holders were aligned. So the result is that of
-all pairs; only lines that most of their many earlier holders can't align cost more than a few pairs.
+"""Line dedup by pairwise alignment: documents that share lines are aligned with patience diff, and the aligned common
+blocks are deleted from the later document (the one with the larger id).
+
+Only line hashes move. A block is a run of consecutive lines with ``MIN_WORDS`` words or more that the earlier document
+has as consecutive lines too. Any line of a block lies in a shortest run that reaches ``MIN_WORDS`` words from its
+first or to its last line, so documents that share such a run, whatever the length of its lines, are candidates, and
+every run pairs each of its holders with the first one (its least id): a number of pairs linear in the lines, however
+many documents share a run. Documents with equal lines are one kind: the first stands for all, the others go whole.
+
 Within a pair, lines unique on both sides are matched along a longest increasing subsequence, matches grow over equal
-neighbours, and the gaps between are aligned likewise. A run of aligned lines with ``MIN_WORDS`` words or more in
-all is a block. A deleted line always has an equal line in an earlier document, and the first document that holds
-a line keeps it, so no content is lost.
+neighbours, and the gaps between are aligned likewise; aligned runs of ``MIN_WORDS`` words go. Patience matches nothing
+twice and nothing out of order, so runs that it leaves are then placed again: those that the partner has elsewhere, or
+that stand in one of the two more than once, go too. With that the first holder settles a run for good (no other
+earlier document could take more of it), and the result is that of all pairs:
 
-``dedup_lines`` without ``whole`` is the narrower rule that ``test_against_a_loop`` states: only lines of ``MIN_WORDS``
-words or more make pairs, each with the first holder. The query and the pipeline stage use ``whole``.
+* a line is deleted exactly if it lies in a run of ``MIN_WORDS`` words that an earlier document has;
+* the first document that holds a run keeps it, so no content is lost.
 
 Defined cases: null and empty texts stay as they are; rows with a null id are neither aligned nor changed; rows that
 share an id are versions of one document and not compared with each other, each loses its own lines; lines are
-compared without the white space around them; lines repeated inside one document stay. A document all of whose
-lines go keeps an empty text in ``dedup_lines``; the pipeline stage drops it. Extra columns are kept.
+compared without the white space around them; lines repeated inside one document stay if no earlier document has
+them. A document all of whose lines go keeps an empty text in ``dedup_lines``; the pipeline stage drops it. Extra
+columns are kept; one called ``deleted_lines`` is replaced.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from planscope.llm.common import WORD, checkpointed, release_memory, table
 
 MIN_WORDS = 10
 BASE = 0x9E3779B97F4A7C15  # of the hashes of runs; odd, so that it has an inverse
+LENGTH = np.uint64(0xD1342543DE82EF95)
 
 
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -91,8 +92,30 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def common_blocks(a: list[int], words: list[int], b: list[int], least: int) -> list[int]:
-    """Lines of ``a`` in runs that are aligned with a run of ``b`` and have ``least`` words or more."""
+def run_names(lines: np.ndarray, words: np.ndarray, least: int, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first and last line of the shortest runs with ``least`` words from and to each line; ``sizes`` says how
+    many lines each of the documents has that stand one after another in ``lines``."""
+    line, words = lines.view(np.uint64), words.astype(np.int64)
+    low = np.repeat(np.cumsum(sizes) - sizes, sizes)
+    high = low + np.repeat(sizes, sizes)
+    place = np.arange(len(line))
+    after = np.cumsum(words)
+    before = after - words
+    stop = np.searchsorted(after, before + least, side="left")
+    start = np.searchsorted(before, after - least, side="right") - 1
+    down, up = stop < high, start >= low
+    ends = np.stack([np.append(place[down], start[up]), np.append(stop[down], place[up])], 1)
+    first, last = np.unique(ends, axis=0).T if len(ends) else ends.T
+    # a polynomial of the line hashes, modulo 2**64, from prefix sums
+    power = np.cumprod(np.append(np.uint64(1), np.full(len(line), BASE, dtype=np.uint64)))
+    back = np.cumprod(np.append(np.uint64(1), np.full(len(line), pow(BASE, -1, 1 << 64), dtype=np.uint64)))
+    total = np.append(np.uint64(0), np.cumsum(line * power[:-1]))
+    name = (total[last + 1] - total[first]) * back[first] ^ (last - first).astype(np.uint64) * LENGTH
+    return name.view(np.int64), first, last
+
+
+def aligned_blocks(a: list[int], words: list[int], b: list[int], least: int) -> list[int]:
+    """Lines of ``a`` in runs of ``least`` words or more that patience aligns with a run of ``b``."""
     out, run, before = [], [], (-2, -2)
     for i, j in [*patience(a, b), (-9, -9)]:
         if (i, j) != (before[0] + 1, before[1] + 1):
@@ -104,6 +127,18 @@ def common_blocks(a: list[int], words: list[int], b: list[int], least: int) -> l
     return out
 
 
+def common_blocks(a: np.ndarray, words: np.ndarray, b: np.ndarray, b_words: np.ndarray, least: int) -> np.ndarray:
+    """Numbers of the lines of ``a`` (hashes) in blocks: aligned by patience, or moved or repeated in one of the two."""
+    gone = np.zeros(len(a), dtype=bool)
+    gone[aligned_blocks(a.tolist(), words.tolist(), b.tolist(), least)] = True
+    if not gone.all():
+        name, first, last = run_names(a, words, least, np.array([len(a)]))
+        there = np.isin(name, run_names(b, b_words, least, np.array([len(b)]))[0])
+        steps = np.bincount(first[there], minlength=len(a) + 1) - np.bincount(last[there] + 1, minlength=len(a) + 1)
+        gone |= np.cumsum(steps)[:-1] > 0
+    return np.flatnonzero(gone).astype(np.int32)
+
+
 def line_table(docs: DataFrame) -> DataFrame:
     """(doc_id, version, lines, words): hashes and word counts of the lines of every document with an id."""
     lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n")
@@ -113,54 +148,20 @@ def line_table(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("version"), hashed.alias("lines"), words.alias("words"))
 
 
-def deleted_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, version, deleted, partners): numbers of the lines (from 0) that go, for documents that lose any."""
-    lines = checkpointed(line_table(docs).dropDuplicates(["doc_id", "version"]))
-    each = lines.select("doc_id", "version", F.explode(F.arrays_zip("lines", "words")).alias("x"))
-    each = each.where(F.col("x.words") >= min_words).select("doc_id", "version", F.col("x.lines").alias("line"))
-    holders = each.groupBy("line").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("holders")).where("first <> last")
-    pairs = each.join(holders, "line").where("doc_id > first").groupBy("doc_id", "version", "first").agg(F.min("holders").alias("rarity"))
-    earlier = lines.select(F.col("doc_id").alias("first"), F.col("lines").alias("other"))
-
-    @F.pandas_udf("array<int>")
-    def blocks(a: pd.Series, w: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([np.array(common_blocks(x.tolist(), y.tolist(), z.tolist(), min_words), dtype=np.int32) for x, y, z in zip(a, w, b, strict=True)], dtype=object)
-
-    # the partner's lines first, so that what travels to the later document is a pair of small arrays
-    aligned = pairs.join(earlier, "first").join(lines, ["doc_id", "version"]).select("doc_id", "version", "rarity", blocks("lines", "words", "other").alias("gone"))
-    # a document has no more partners than lines
-    out = aligned.where(F.size("gone") > 0).groupBy("doc_id", "version").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("deleted"), F.count("*").alias("partners"), F.min("rarity").alias("rarity"))
-    return out
-
-
 def _runs(least: int):
-    """(doc_id, version, run, start, stop): hash and place of the shortest runs of lines with ``least`` words, from and to each line."""
+    """(doc_id, version, run): the shortest runs of lines with ``least`` words, from and to each line, once a document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size = pc.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False).astype(np.int64)
-            line = batch.column(2).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            words = batch.column(3).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            row, place = np.repeat(np.arange(len(size)), size), np.arange(len(line))
-            low = np.repeat(np.cumsum(size) - size, size)
-            high = low + np.repeat(size, size)
-            after = np.cumsum(words)
-            before = after - words
-            stop = np.searchsorted(after, before + least, side="left")
-            start = np.searchsorted(before, after - least, side="right") - 1
-            down, up = stop < high, start >= low
-            ends = np.stack([np.append(place[down], start[up]), np.append(stop[down], place[up])], 1)
-            first, last = np.unique(ends, axis=0).T if len(ends) else ends.T
-            # a polynomial of the line hashes, modulo 2**64, from prefix sums
-            power = np.cumprod(np.append(np.uint64(1), np.full(len(line), BASE, dtype=np.uint64)))
-            back = np.cumprod(np.append(np.uint64(1), np.full(len(line), pow(BASE, -1, 1 << 64), dtype=np.uint64)))
-            total = np.append(np.uint64(0), np.cumsum(line * power[:-1]))
-            name = (total[last + 1] - total[first]) * back[first]
-            of = pa.array(row[first])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(of), batch.column(1).take(of), pa.array(name.view(np.int64)), pa.array((first - low[first]).astype(np.int32)), pa.array((last - low[first]).astype(np.int32))],
-                names=["doc_id", "version", "run", "start", "stop"],
-            )
+            lines, words = (batch.column(i).flatten().to_numpy(zero_copy_only=False) for i in (2, 3))
+            name, first, _ = run_names(lines, words, least, size)
+            row = np.repeat(np.arange(len(size)), size)[first]
+            order = np.lexsort((name, row))
+            row, name = row[order], name[order]
+            new = np.append(True, (row[1:] != row[:-1]) | (name[1:] != name[:-1]))[: len(row)]
+            of = pa.array(row[new])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), pa.array(name[new])], names=["doc_id", "version", "run"])
         release_memory()
 
     return run
@@ -168,19 +169,20 @@ def _runs(least: int):
 
 def aligned_lines(pairs: DataFrame, lines: DataFrame, least: int) -> DataFrame:
     """(doc_id, version, deleted): common blocks of the pairs (doc_id, version, other)."""
-    earlier = lines.select(F.col("doc_id").alias("other"), F.col("lines").alias("theirs"))
+    earlier = lines.select(F.col("doc_id").alias("other"), F.col("lines").alias("theirs"), F.col("words").alias("their_words"))
 
     @F.pandas_udf("array<int>")
-    def blocks(a: pd.Series, w: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([np.array(common_blocks(x.tolist(), y.tolist(), z.tolist(), least), dtype=np.int32) for x, y, z in zip(a, w, b, strict=True)], dtype=object)
+    def blocks(a: pd.Series, w: pd.Series, b: pd.Series, v: pd.Series) -> pd.Series:
+        return pd.Series([common_blocks(*x, least) for x in zip(a, w, b, v, strict=True)], dtype=object)
 
-    found = pairs.join(earlier, "other").join(lines, ["doc_id", "version"]).select("doc_id", "version", blocks("lines", "words", "theirs").alias("gone"))
-    # pairs may be many, but there are no more distinct lines than the document has
+    # the partner's lines first, so that what travels to the later document is a pair of small arrays
+    found = pairs.join(earlier, "other").join(lines, ["doc_id", "version"]).select("doc_id", "version", blocks("lines", "words", "theirs", "their_words").alias("gone"))
+    # a document has no more distinct deleted lines than lines
     each = found.select("doc_id", "version", F.explode("gone").alias("line")).groupBy("doc_id", "version")
     return each.agg(F.collect_set("line").alias("deleted"))
 
 
-def whole_deleted_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def deleted_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, version, deleted): numbers of the lines (from 0) that go, for documents that lose any."""
     lines = checkpointed(line_table(docs).dropDuplicates(["doc_id", "version"]).withColumn("kind", F.xxhash64("lines")))
     kinds = lines.groupBy("kind").agg(F.min("doc_id").alias("origin"), F.max("doc_id").alias("last")).where("origin <> last").drop("last")
@@ -190,58 +192,32 @@ def whole_deleted_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFram
     copies = copies.select("doc_id", "version", F.sequence(F.lit(0), F.size("lines") - 1).alias("deleted"))
     lines = lines.where("origin is null or doc_id = origin").drop("origin")
 
-    runs = lines.select("doc_id", "version", "lines", "words").mapInArrow(_runs(min_words), "doc_id bigint, version bigint, run bigint, start int, stop int")
-    holders = runs.groupBy("run").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last").drop("last")
-    shared = checkpointed(runs.join(holders, "run"))
-    later = shared.where("doc_id > first")
-    deleted = [checkpointed(aligned_lines(later.select("doc_id", "version", F.col("first").alias("other")).distinct(), lines, min_words))]
-
-    # holders that the first pass left: (run, place) by place; few runs have any
-    left = checkpointed(_undeleted(later.drop("first"), deleted[0]))
-    ids = shared.select("run", "doc_id").distinct().join(left.select("run").distinct(), "run", "left_semi")
-    ranked = checkpointed(ids.withColumn("rank", F.row_number().over(Window.partitionBy("run").orderBy("doc_id"))))
-    left = left.join(ranked, ["run", "doc_id"])
-    tried, upto = 1, 4
-    while not (left := checkpointed(left.where(F.col("rank") > tried + 1))).isEmpty():
-        others = ranked.where((F.col("rank") > tried) & (F.col("rank") <= upto)).select("run", F.col("doc_id").alias("other"))
-        pairs = left.join(others, "run").where("other < doc_id").select("doc_id", "version", "other").distinct()
-        deleted.append(checkpointed(aligned_lines(pairs, lines, min_words)))
-        left = _undeleted(left, _merged(deleted))
-        tried, upto = upto, 4 * upto
-    return _merged(deleted).unionByName(copies)
-
-
-def _merged(parts: list[DataFrame]) -> DataFrame:
-    each = reduce(DataFrame.unionByName, parts)
-    return each.groupBy("doc_id", "version").agg(F.array_distinct(F.flatten(F.collect_list("deleted"))).alias("deleted"))
-
-
-def _undeleted(runs: DataFrame, deleted: DataFrame) -> DataFrame:
-    """Those of ``runs`` of which some line is not deleted."""
-    stays = F.array_except(F.sequence("start", "stop"), F.coalesce("deleted", F.array().cast("array<int>")))
-    return runs.join(deleted, ["doc_id", "version"], "left").where(F.size(stays) > 0).drop("deleted")
+    runs = lines.select("doc_id", "version", "lines", "words").mapInArrow(_runs(min_words), "doc_id bigint, version bigint, run bigint")
+    holders = runs.groupBy("run").agg(F.min("doc_id").alias("other"), F.max("doc_id").alias("last")).where("other <> last").drop("last")
+    pairs = runs.join(holders, "run").where("doc_id > other").select("doc_id", "version", "other").distinct()
+    return aligned_lines(pairs, lines, min_words).unionByName(copies)
 
 
-def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, whole: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with the common blocks deleted from the text, and deleted_lines (their numbers, sorted)."""
-    gone = (whole_deleted_lines if whole else deleted_lines)(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), min_words)
-    gone = gone.select(F.col("doc_id").alias("__id"), F.col("version").alias("__version"), "deleted")
-    rows = docs.drop("deleted_lines", "deleted").withColumn("__of", F.xxhash64(F.col(text_col)))
-    rows = rows.join(gone, (F.col(id_col).cast("long") == F.col("__id")) & (F.col("__of") == F.col("__version")), "left")
-    lines = F.split(F.col(text_col), "\n")
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("deleted", i)), "\n")
-    new = F.when(F.col("deleted").isNotNull() & F.col(text_col).isNotNull(), kept).otherwise(F.col(text_col))
-    cols = [new.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c not in ("deleted_lines", "deleted")]
-    return rows.select(*cols, F.coalesce(F.sort_array("deleted"), F.array().cast("array<int>")).alias("deleted_lines"))
+    gone = deleted_lines(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), min_words)
+    gone = gone.select(F.col("doc_id").alias("__id"), F.col("version").alias("__version"), F.col("deleted").alias("__gone"))
+    kept = [c for c in docs.columns if c != "deleted_lines"]
+    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(id_col).cast("long").alias("__row"), F.xxhash64(F.col(text_col)).alias("__of"))
+    rows = rows.join(gone, (F.col("__row") == F.col("__id")) & (F.col("__of") == F.col("__version")), "left")
+    left = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains("__gone", i)), "\n")
+    new = F.when(F.col("__gone").isNotNull() & F.col(text_col).isNotNull(), left).otherwise(F.col(text_col))
+    cols = [new.alias(c) if c == text_col else F.col(f"`{c}`") for c in kept]
+    return rows.select(*cols, F.coalesce(F.sort_array("__gone"), F.array().cast("array<int>")).alias("deleted_lines"))
 
 
 def op2_line_dedup(spark, sf_dir: str) -> DataFrame:
-    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), whole=True)
+    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.size("deleted_lines").cast("long").alias("n_deleted"), "deleted_lines", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
 def line_dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents lose their common blocks; those of which nothing but white space is left go."""
-    out = dedup_lines(docs, whole=True)
+    out = dedup_lines(docs)
     left = out.where((F.size("deleted_lines") == 0) | F.col("text").rlike(WORD))
     return left.select("doc_id", "text", "lang", "source", F.when(F.size("deleted_lines") == 0, F.col("n_chars")).otherwise(F.char_length("text").cast("long")).alias("n_chars"))

@@ -1,8 +1,10 @@
-"""Alignment, blocks and the distributed form against a plain loop."""
+"""Alignment, blocks and the distributed form against plain loops that know neither pairs nor first holders."""
 
 import random
 from difflib import SequenceMatcher
 
+import numpy as np
+
 from planscope.llm import line_dedup as ld
 
 
@@ -20,42 +22,76 @@ def test_patience_is_a_common_subsequence():
     assert len(ld.patience(*unique)) >= longest
 
 
+def lines_of(text):
+    return [x.strip(" \t\n\v\f\r") for x in (text or "").split("\n")]
+
+
 def brute(rows, least):
-    docs = [(d, [x.strip(" \t\n\v\f\r") for x in (t or "").split("\n")]) for d, t in rows if d is not None]
-    words = lambda x: len(x.split())
-    first = {}
-    for d, lines in docs:
-        for x in lines:
-            if words(x) >= least:
-                first[x] = min(first.get(x, d), d)
+    """Every stretch of lines of every document, looked for in every earlier document."""
+    docs = [(d, lines_of(t)) for d, t in rows if d is not None]
     out = {}
     for d, lines in docs:
         gone = set()
-        for p in {first[x] for x in lines if x in first and first[x] < d}:
-            for q, other in docs:
-                if q == p:
-                    gone |= set(ld.common_blocks([hash(x) for x in lines], [words(x) for x in lines], [hash(x) for x in other], least))
+        for i in range(len(lines)):
+            for j in range(i + 1, len(lines) + 1):
+                if sum(len(x.split()) for x in lines[i:j]) >= least:
+                    run = lines[i:j]
+                    if any(e < d and any(other[k : k + len(run)] == run for k in range(len(other))) for e, other in docs):
+                        gone |= set(range(i, j))
+                    break
+            for j in range(i, -1, -1):
+                if sum(len(x.split()) for x in lines[j : i + 1]) >= least:
+                    run = lines[j : i + 1]
+                    if any(e < d and any(other[k : k + len(run)] == run for k in range(len(other))) for e, other in docs):
+                        gone |= set(range(j, i + 1))
+                    break
         out[d] = sorted(gone)
     return out
 
 
+def texts(rng, n, pool, share):
+    line = lambda k: " ".join(f"w{rng.randrange(500)}" for _ in range(k))
+    return ["\n".join(rng.choice(pool) if rng.random() < share else line(rng.randint(0, 20)) for _ in range(rng.randint(1, 12))) for _ in range(n)]
+
+
+def test_pairs_take_moved_and_repeated_blocks():
+    rng = random.Random(5)
+    words = {i: rng.choice([0, 2, 5, 12]) for i in range(9)}
+    name = {i: rng.getrandbits(63) for i in range(-1, 9)}
+    more = 0
+    for _ in range(400):
+        a, b = ([rng.randrange(9) for _ in range(rng.randint(0, 14))] for _ in range(2))
+        rows = [(1, "\n".join(" ".join([f"v{i}"] * words[i]) for i in b)), (2, "\n".join(" ".join([f"v{i}"] * words[i]) for i in a))]
+        # lines without words are one line to the loop: give them one value here too
+        a, b = ([-1 if not words[i] else i for i in x] for x in (a, b))
+        wa, wb = ([words.get(i, 0) for i in x] for x in (a, b))
+        a, b = ([name[i] for i in x] for x in (a, b))
+        got = ld.common_blocks(*(np.array(x, dtype=np.int64) for x in (a, wa, b, wb)), ld.MIN_WORDS).tolist() if a and b else []
+        assert got == (brute(rows, ld.MIN_WORDS)[2] if a and b else [])
+        plain = ld.aligned_blocks(a, wa, b, ld.MIN_WORDS)
+        assert set(plain) <= set(got)
+        more += len(got) - len(set(plain))
+    assert more > 50
+
+
 def test_against_a_loop(spark):
     rng = random.Random(2)
-    line = lambda n: " ".join(f"w{rng.randrange(500)}" for _ in range(n))
-    pool = [line(rng.choice([3, 6, 12, 60])) for _ in range(40)]
-    rows = []
-    for i in range(80):
-        text = [rng.choice(pool) if rng.random() < 0.5 else line(rng.randint(0, 20)) for _ in range(rng.randint(1, 12))]
-        rows.append((i, "\n".join(("  " + x + "\t") if rng.random() < 0.1 else x for x in text)))
-    rows += [(200, rows[5][1]), (201, None), (202, ""), (203, "\n\n")]
-    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, deleted string")
-    got = {r.doc_id: r for r in ld.dedup_lines(df).collect()}
+    pool = [" ".join(f"w{rng.randrange(500)}" for _ in range(rng.choice([3, 6, 12, 60]))) for _ in range(40)] + ["", "a b"]
+    rows = list(enumerate(texts(rng, 120, pool, 0.5)))
+    rows = [(d, "\n".join(("  " + x + "\t") if rng.random() < 0.1 else x for x in t.split("\n"))) for d, t in rows]
+    rows += [(200, rows[5][1]), (201, None), (202, ""), (203, "\n\n")] + [(300 + i, rows[i][1]) for i in range(0, 40, 5)]
+    df = spark.createDataFrame([(*r, "x", "y", "z") for r in rows], "doc_id long, text string, deleted string, `__of` string, deleted_lines string")
+    df = df.withColumnRenamed("__of", "kind")
+    out = ld.dedup_lines(df)
+    assert out.columns == ["doc_id", "text", "deleted", "kind", "deleted_lines"]
+    got = {r.doc_id: r for r in out.collect()}
     want = brute(rows, ld.MIN_WORDS)
     assert {d: list(r.deleted_lines) for d, r in got.items()} == want
-    assert sum(map(len, want.values())) > 50
+    assert sum(map(len, want.values())) > 100
     for d, t in rows:
         lines = t.split("\n") if t is not None else None
         assert got[d].text == (None if lines is None else "\n".join(x for i, x in enumerate(lines) if i not in want[d]))
+        assert (got[d].deleted, got[d].kind) == ("x", "y")
 
 
 def test_nulls_repeats_and_empty(spark):
@@ -68,27 +104,20 @@ def test_nulls_repeats_and_empty(spark):
     assert ld.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def every_pair(rows, least):
-    """Aligned with all earlier documents, whatever they share."""
-    docs = [(d, [x.strip(" \t\n\v\f\r") for x in (t or "").split("\n")]) for d, t in rows if d is not None]
-    blocks = lambda a, b: ld.common_blocks([hash(x) for x in a], [len(x.split()) for x in a], [hash(x) for x in b], least)
-    return {d: sorted({i for e, other in docs if e < d for i in blocks(lines, other)}) for d, lines in docs}
-
-
-def test_runs_of_short_lines_make_pairs(spark):
-    verse = [f"verse {i} has but eight short words here" for i in range(8)]
-    rows = [(1, "\n".join(verse)), (2, "\n".join(["a new head", *verse[:4], "", *verse[4:], "a new foot"])), (3, "one two three\n\nfour five"), (4, "x\none two three\n\nfour five")]
-    got = {r.doc_id: list(r.deleted_lines) for r in ld.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), whole=True).collect()}
-    assert got == every_pair(rows, ld.MIN_WORDS) == {1: [], 2: [1, 2, 3, 4, 6, 7, 8, 9], 3: [], 4: []}
+def test_identical_and_overlapping_documents_of_short_lines(spark):
+    verse = [f"verse {i} has just six words" for i in range(31)]
+    rows = [(1, "\n".join(verse[:30])), (2, "\n".join(verse[:30])), (3, "\n".join(["a head of its own", *verse, "a foot of its own"])), (4, "one two three\n\nfour five"), (5, "x\none two three\n\nfour five")]
+    got = {r.doc_id: list(r.deleted_lines) for r in ld.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows, ld.MIN_WORDS) == {1: [], 2: list(range(30)), 3: list(range(1, 31)), 4: [], 5: []}
 
 
-def test_further_holders_are_aligned(spark):
-    rng = random.Random(8)
-    line = lambda n: " ".join(f"w{rng.randrange(500)}" for _ in range(n))
-    pool = [line(rng.choice([3, 6, 12, 60])) for _ in range(12)] + ["", "a b"]
-    rows = [(i, "\n".join(rng.choice(pool) if rng.random() < 0.6 else line(rng.randint(0, 20)) for _ in range(rng.randint(1, 12)))) for i in range(120)]
-    rows += [(300 + i, rows[i][1]) for i in range(0, 40, 5)]
-    got = {r.doc_id: list(r.deleted_lines) for r in ld.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), whole=True).collect()}
-    want = every_pair(rows, ld.MIN_WORDS)
-    assert got == want
-    assert sum(map(len, want.values())) > sum(map(len, brute(rows, ld.MIN_WORDS).values())) + 20
+def test_boilerplate_and_long_texts(spark):
+    """One line in every document, twice in the first and in every third; one document of 20,000 lines."""
+    common = "this very common line stands in each and every one of the documents"
+    own = lambda i, j: f"document {i} line {j} with quite a few words of its very own"
+    rows = [(0, f"{common}\n{own(0, 0)}\n{common}")]
+    rows += [(i, "\n".join([own(i, 0), common, own(i, 1), *([common] if i % 3 == 0 else [])])) for i in range(1, 400)]
+    rows += [(1000, "\n".join(own(1000, j) for j in range(20_000))), (1001, "\n".join([own(1000, j) for j in range(19_999, -1, -1)]))]
+    got = {r.doc_id: list(r.deleted_lines) for r in ld.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0] == got[1000] == [] and got[1001] == list(range(20_000))
+    assert all(got[i] == ([1, 3] if i % 3 == 0 else [1]) for i in range(1, 400))
