@@ -1,32 +1,36 @@
-"""Exact top-k BM25 search: an inverted index per shard with block-max pruning, merged with global statistics.
+"""Exact top-k BM25 search: an inverted index per shard with block-max WAND pruning, merged with global statistics.
 
 Terms are runs of letters, digits and other non-ASCII characters, A-Z lower-cased (ASCII punctuation and white space
 separate), named by 64-bit hashes. A query is the whole text of a document: its distinct terms.
 
-Queries are handled in blocks of at most ``QUERIES`` rows and ``TERMS`` terms; what a block broadcasts (terms, weights) is
-bounded by these, and further blocks run over the index again. For each block:
-
-1. every document becomes a row of the terms that the block's queries ask for, with its length: written once;
-2. document frequencies, the number of documents and the mean length are summed over all shards;
-3. each shard builds postings with their final BM25 parts, each term's maximum, and for frequent terms the
-   maximum in every block of ``DOCS`` documents. A query first adds up its rare terms' postings and scores the best
-   documents fully: their k-th score is the threshold. A document stays a candidate while its sum so far plus the
-   block maxima of the terms not yet added reaches the threshold, the WAND condition taken for all documents at
-   once; frequent terms are added, rarest first, only until few candidates are left, which are then scored fully;
-4. a task works through its shards one by one, with the k-th score so far as the threshold to start from, and
-   the tasks' top k per query are merged to the top k of all.
-
-Scores use statistics of all documents, and a document that ties with the threshold is scored, so the result equals
-that of scoring everything. Ties go to the smaller doc_id. A query finds its own document too. Documents without a
-common term are no hits, so a query can have fewer than k.
+1. The index is built once, whatever the number of queries: a task packs its documents into shards of at most
+   ``SHARD_DOCS`` documents or ``SHARD_POSTINGS`` postings, each a row of arrays (vocabulary, postings by term,
+   lengths), written to the shared checkpoint folder. Within a shard documents that share their most frequent term
+   and have like lengths stand together, so that block maxima are close to what is in the block.
+2. Queries are handled in blocks of at most ``QUERIES`` rows and ``TERMS`` terms; what a block broadcasts (terms,
+   weights) is bounded by these. All blocks run over the same index; a block's top k are written before the next
+   block begins. Document frequencies are summed over all shards for the terms of the block.
+3. For each shard and query: the postings of rare terms are added up; every block of ``DOCS`` documents is bounded by
+   its largest sum so far plus its maxima of the query's frequent terms. Blocks whose bound is below the threshold, the
+   k-th score that the task has found so far, stay shut (the WAND condition with block maxima). Over the open blocks,
+   or the stretch they lie in, the frequent terms are added in units of 1 / ``SCALE`` rounded up, and documents that
+   reach the threshold are scored from their own terms.
+4. A task works through its shards one by one, and the tasks' top k per query are merged to the top k of all.
+
+Scores use statistics of all documents. Sums and bounds only select documents, with a margin above their rounding; a
+document that ties with the threshold is scored, and scores are summed per document in one order of terms, so the
+result equals that of scoring everything. Ties go to the smaller doc_id. A query finds its own document too. Documents
+without a common term are no hits, so a query can have fewer than k.
 
 Defined cases: null and empty texts match nothing; a null doc_id is neither query nor hit; repeated rows are hits each;
-queries that repeat an id are one query each and get a rank each by row; an empty table gives no rows.
+queries that repeat an id are one query each and get a rank each by row; an empty table gives no rows; columns other
+than the id and the text are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -39,11 +43,18 @@ from planscope.llm.common import checkpointed, release_memory, table, text_slice
 
 K1, B = 1.2, 0.75
 QUERIES, TERMS = 8192, 2_000_000
-#: A shard closes when it has so many documents or postings: this bounds a task's memory.
-SHARD_DOCS, SHARD_POSTINGS = 32_768, 2_500_000
+#: A shard closes when it has so many documents (16-bit numbers) or postings: this bounds a task's memory.
+SHARD_DOCS, SHARD_POSTINGS = 32_768, 7_000_000
+#: So many of a shard's most frequent terms tell which documents stand together.
+TOPS = 64
 DOCS = 16
-#: Terms in more than one of so many documents of a shard are frequent: pruned by block maxima.
-FREQUENT = 32
+#: Terms in more than one of so many documents of a shard are frequent: pruned by block maxima. Their table has at
+#: most ``CELLS`` cells; the most frequent terms come first.
+FREQUENT, CELLS = 32, 1 << 25
+#: Units of the rounded parts of frequent terms, and queries whose bounds are computed together.
+SCALE, TOGETHER = 256, 64
+#: Above the rounding of 32-bit parts.
+MARGIN = 1e-4
 
 _SEPARATES = np.ones(256, dtype=bool)
 _SEPARATES[128:] = False
@@ -73,161 +84,257 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.where("doc_id is not null").select(F.col("doc_id").alias("qid"), terms("text").alias("terms"))
 
 
-def _forward(vocabulary):
-    """(doc_id, length, terms, counts): the numbers of vocabulary terms that a document has, as little-endian arrays."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = vocabulary.value
-        for batch in batches:
-            length, own, counts = [], [], []
-            for t, c in (x for texts in text_slices(batch.column(1)) for x in term_counts(texts)):
-                at = np.searchsorted(words, t)
-                at[at == len(words)] = 0
-                known = words[at] == t
-                length.append(int(c.sum()))
-                own.append(at[known].astype(np.int32).tobytes())
-                counts.append(c[known].astype(np.int32).tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(length, pa.int64()), pa.array(own, pa.binary()), pa.array(counts, pa.binary())], names=["doc_id", "length", "terms", "counts"]
-            )
-        release_memory()
-
-    return run
-
+_SHARD = ["docs", "words", "doc_ids", "lengths", "vocabulary", "df", "post_doc", "post_count"]
+_SHARD_SCHEMA = "docs bigint, words bigint, doc_ids binary, lengths binary, vocabulary binary, df binary, post_doc binary, post_count binary"
+
+
+def pack(doc_ids: np.ndarray, terms: list[np.ndarray], counts: list[np.ndarray]) -> dict:
+    """A shard of the index: for each term of the sorted vocabulary its postings (number of the document, count).
+    Empties ``terms`` and ``counts``."""
+    lengths = np.array([c.sum() for c in counts], dtype=np.int64)
+    doc = np.repeat(np.arange(len(terms), dtype=np.uint16), [len(t) for t in terms])
+    term, count = np.concatenate(terms), np.concatenate(counts)
+    terms.clear()
+    counts.clear()
+    by_term = np.argsort(term, kind="stable")
+    term, doc, count = term[by_term], doc[by_term], count[by_term]
+    del by_term
+    first = np.flatnonzero(np.append(True, term[1:] != term[:-1])) if len(term) else np.zeros(0, dtype=np.int64)
+    vocabulary, df = term[first], np.diff(np.append(first, len(term))).astype(np.int32)
+    del term
+    # documents by their most frequent term: terms are handed out from the rarest to the most frequent, the last stays
+    top = np.full(len(doc_ids), len(df), dtype=np.int32)
+    rank = np.empty(len(df), dtype=np.int32)
+    rank[np.argsort(-df, kind="stable")] = np.arange(len(df), dtype=np.int32)
+    some = rank < TOPS
+    at = np.repeat(some, df)
+    number = np.repeat(rank[some], df[some])
+    high = np.argsort(-number, kind="stable")
+    top[doc[at][high]] = number[high]
+    order = np.lexsort((doc_ids, lengths, top))
+    place = np.empty(len(order), dtype=np.uint16)
+    place[order] = np.arange(len(order))
+    kind = np.uint8 if not len(count) or count.max() < 256 else np.int32
+    arrays = (doc_ids[order].astype(np.int64), lengths[order], vocabulary.astype(np.int64), df, place[doc], count.astype(kind))
+    return dict(zip(_SHARD, (len(doc_ids), int(lengths.sum()), *(x.tobytes() for x in arrays)), strict=True))
+
+
+def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shards of the documents (doc_id, text) of a task."""
+    ids, terms, counts, postings = [], [], [], 0
+
+    def shard() -> pa.RecordBatch:
+        row = pack(np.array(ids, dtype=np.int64), terms, counts)
+        ids.clear()
+        return pa.RecordBatch.from_pylist([row], schema=pa.schema([(c, pa.int64() if c in ("docs", "words") else pa.binary()) for c in _SHARD]))
+
+    for batch in batches:
+        known = batch.column(0).to_pylist()
+        for at, (t, c) in enumerate(x for texts in text_slices(batch.column(1)) for x in term_counts(texts)):
+            ids.append(known[at])
+            terms.append(t)
+            counts.append(c.astype(np.int32))
+            postings += len(t)
+            if len(ids) >= SHARD_DOCS or postings >= SHARD_POSTINGS:
+                yield shard()
+                postings = 0
+    if ids:
+        yield shard()
+    release_memory()
+
+
+def build_index(docs: DataFrame) -> tuple[DataFrame, int, float]:
+    """The shards of ``docs`` (doc_id, text), written once, the number of documents and their mean length."""
+    n = docs.count()
+    tasks = max(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-n // SHARD_DOCS))
+    shards = checkpointed(docs.coalesce(tasks).mapInArrow(_index, _SHARD_SCHEMA))
+    words = shards.agg(F.sum("words")).first()[0] or 0
+    return shards, n, max(words / max(n, 1), 1e-9)
+
+
+def _frequencies(shared):
+    """(term, df) of a task's shards for the terms of a block."""
 
-def _frequencies(size: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        df = np.zeros(size, dtype=np.int64)
+        words = shared.value
+        df = np.zeros(len(words), dtype=np.int64)
         for b in batches:
-            if len(b):
-                df += np.bincount(np.frombuffer(b"".join(b["terms"]), dtype=np.int32), minlength=size)
+            for vocabulary, own in zip(b["vocabulary"], b["df"], strict=True):
+                at, known = _look_up(words, np.frombuffer(vocabulary, dtype=np.int64))
+                df[at[known]] += np.frombuffer(own, dtype=np.int32)[known]
         at = np.flatnonzero(df)
         yield pd.DataFrame({"term": at.astype(np.int32), "df": df[at]})
 
     return run
 
 
+def _look_up(words: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at = np.searchsorted(words, vocabulary)
+    at[at == len(words)] = 0
+    return at, words[at] == vocabulary
+
+
 class Shard:
-    """Postings of some documents with their BM25 parts, term maxima and block maxima."""
-
-    def __init__(self, doc_ids: np.ndarray, lengths: np.ndarray, terms: np.ndarray, counts: np.ndarray, per_doc: np.ndarray, idf: np.ndarray, mean: float):
-        order = np.lexsort((doc_ids, lengths))  # documents of like length share a block: their maxima are close
-        place = np.empty(len(order), dtype=np.int32)
-        place[order] = np.arange(len(order), dtype=np.int32)
-        doc = np.repeat(place, per_doc)
-        self.doc_ids, lengths, per_doc = doc_ids[order], lengths[order], per_doc[order]
-        self.n = len(doc_ids)
-        self.mean_terms = len(terms) / max(1, self.n)
-        moved = np.argsort(doc, kind="stable").astype(np.int32)
-        doc, self.terms, tf = doc[moved], terms[moved], counts[moved].astype(np.float64)
-        del moved
-        self.start = np.concatenate(([0], np.cumsum(per_doc)))
-        weight = K1 * (1 - B + B * lengths / mean)
-        self.parts = idf[self.terms] * tf * (K1 + 1) / (tf + weight[doc])
-        del tf
-        by_term = np.argsort(self.terms, kind="stable").astype(np.int32)
-        self.post_doc, self.post_part = doc[by_term], self.parts[by_term]
-        del by_term, doc
-        self.post = np.concatenate(([0], np.cumsum(np.bincount(self.terms, minlength=len(idf)))))
-        df = np.diff(self.post)
-        self.frequent = df > max(16, self.n // FREQUENT)
-        often = np.flatnonzero(self.frequent)
-        self.row = np.full(len(idf), -1, dtype=np.int64)
-        self.row[often] = np.arange(len(often))
-        self.blocks = (self.n + DOCS - 1) // DOCS
-        self.most = np.zeros((len(often), self.blocks))
-        for r, t in enumerate(often):
-            a, b = self.post[t], self.post[t + 1]
-            np.maximum.at(self.most[r], self.post_doc[a:b] // DOCS, self.post_part[a:b])
-        self.block_of = np.arange(self.n) // DOCS
-        self.asked = np.zeros(len(idf), dtype=bool)
-
-    def full(self, docs: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Postings of some documents for the terms of a block of queries, with their BM25 parts and block maxima."""
+
+    def __init__(self, row: dict, words: np.ndarray, idf: np.ndarray, mean: float):
+        read = lambda c, kind: np.frombuffer(row[c], dtype=kind)
+        self.doc_ids, lengths, df = read("doc_ids", np.int64), read("lengths", np.int64), read("df", np.int32)
+        self.n = len(self.doc_ids)
+        doc = read("post_doc", np.uint16)
+        count = read("post_count", np.uint8 if len(row["post_count"]) == len(doc) else np.int32)
+        at, known = _look_up(words, read("vocabulary", np.int64))
+        kept = np.repeat(known, df)
+        at, df = at[known], df[known]
+        self.post_doc, count = doc[kept], count[kept]
+        del kept, doc
+        self.slot = np.full(len(words), -1, dtype=np.int32)
+        self.slot[at] = np.arange(len(at), dtype=np.int32)
+        self.gain, self.weight = idf[at] * (K1 + 1), K1 * (1 - B + B * lengths / mean)
+        self.post = np.concatenate(([0], np.cumsum(df, dtype=np.int64)))
+        term = np.repeat(np.arange(len(at), dtype=np.int32), df)
+        self.post_part = np.empty(len(term), dtype=np.float32)
+        for i in range(0, len(term), 1 << 20):
+            j = i + (1 << 20)
+            self.post_part[i:j] = self._part(term[i:j], self.post_doc[i:j], count[i:j])
+        # by document, each with its terms in ascending order
+        moved = np.argsort(self.post_doc, kind="stable")
+        self.terms, self.counts = term[moved], count[moved]
+        self.start = np.concatenate(([0], np.cumsum(np.bincount(self.post_doc, minlength=self.n))))
+        del moved, term, count
+        # frequent terms: a row each of their parts, rounded up to units of 1 / SCALE, and the maxima by block
+        self.blocks = -(-self.n // DOCS)
+        wide = self.blocks * DOCS
+        often = np.flatnonzero(df > max(16, self.n // FREQUENT))
+        often = often[np.argsort(-df[often], kind="stable")[: CELLS // wide]]
+        self.row = np.full(len(at), -1, dtype=np.int32)
+        self.row[often] = np.arange(len(often), dtype=np.int32)
+        self.dense = np.zeros((len(often), wide), dtype=np.uint16)
+        for r, t in enumerate(often.tolist()):
+            i, j = self.post[t], self.post[t + 1]
+            self.dense[r, self.post_doc[i:j]] = np.ceil(self.post_part[i:j] * np.float32(SCALE * (1 + MARGIN)))
+        self.cells = self.dense.reshape(len(often), self.blocks, DOCS)
+        self.most = self.cells.max(2).astype(np.float32) if len(often) else np.zeros((0, self.blocks), dtype=np.float32)
+        self.peak = self.most.max(1).astype(np.int64) if len(often) else np.zeros(0, dtype=np.int64)
+        self.asked = np.zeros(len(at), dtype=bool)
+        self.touched = 0  # parts that searches have read
+
+    def known(self, query: np.ndarray) -> np.ndarray:
+        """The shard's own numbers of the terms of a query that it has."""
+        own = self.slot[query]
+        return own[own >= 0]
+
+    def _part(self, term: np.ndarray, doc: np.ndarray, count: np.ndarray) -> np.ndarray:
+        return self.gain[term] * count / (count + self.weight[doc])
+
+    def full(self, docs: np.ndarray, own: np.ndarray) -> np.ndarray:
         """Whole scores of ``docs``, each summed in the order of terms."""
-        self.asked[query] = True
-        size = self.start[docs + 1] - self.start[docs]
-        ends = np.cumsum(size)
-        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[docs] - (ends - size), size)
-        part = np.where(self.asked[self.terms[at]], self.parts[at], 0.0)
-        self.asked[query] = False
-        return np.bincount(np.repeat(np.arange(len(docs)), size), weights=part, minlength=len(docs))
-
-    def added(self, sums: np.ndarray, terms: np.ndarray) -> np.ndarray:
-        """``sums`` plus the parts of all postings of ``terms``."""
-        spans = [(a, b) for a, b in zip(self.post[terms].tolist(), self.post[terms + 1].tolist(), strict=True) if b > a]
+        if not len(docs):
+            return np.zeros(0)
+        spans = list(zip(self.start[docs].tolist(), self.start[docs + 1].tolist(), strict=True))
+        terms = np.concatenate([self.terms[i:j] for i, j in spans])
+        self.asked[own] = True
+        hit = np.flatnonzero(self.asked[terms])
+        self.asked[own] = False
+        self.touched += len(terms)
+        at = np.repeat(np.arange(len(docs)), [j - i for i, j in spans])[hit]
+        count = np.concatenate([self.counts[i:j] for i, j in spans])[hit]
+        return np.bincount(at, weights=self._part(terms[hit], docs[at], count), minlength=len(docs))
+
+    def rare_sums(self, own: np.ndarray) -> np.ndarray:
+        """For each document, the sum of its parts of the rare terms among ``own``."""
+        rare = own[self.row[own] < 0]
+        a, b = self.post[rare], self.post[rare + 1]
+        self.touched += int((b - a).sum())
+        spans = list(zip(a.tolist(), b.tolist(), strict=True))
         if not spans:
-            return sums
-        docs = np.concatenate([self.post_doc[a:b] for a, b in spans])
-        return sums + np.bincount(docs, weights=np.concatenate([self.post_part[a:b] for a, b in spans]), minlength=self.n)
-
-    def top(self, query: np.ndarray, k: int, floor: float = 0.0) -> tuple[np.ndarray, np.ndarray, int]:
-        """Documents and scores of the top k, and how many documents were scored fully. ``floor`` is a score that k
-        documents of other shards reach: documents below it don't count."""
-        often = self.frequent[query]
-        rare, common = query[~often], query[often]
-        common = common[np.argsort(self.post[common + 1] - self.post[common], kind="stable")]
-        sums = self.added(np.zeros(self.n), rare)
-        pick = min(self.n, 3 * k)
-        likely = np.argpartition(sums, self.n - pick)[self.n - pick :]
-        scores = self.full(likely, query)
-        threshold = max(floor, np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) >= k else 0.0)
-        step = 4
-        while True:
-            # sums are lower bounds of the scores, with the block maxima of the terms not yet added upper bounds
-            bound = sums + (self.most[self.row[common]].sum(0)[self.block_of] if len(common) else 0.0)
-            # go on while scoring the candidates fully would cost more than adding the postings that are left
-            left = (self.post[common + 1] - self.post[common]).sum()
-            if np.count_nonzero(bound >= threshold) * self.mean_terms * 2 <= left or not len(common):
-                break
-            sums, common, step = self.added(sums, common[:step]), common[step:], 2 * step
-            if self.n >= k:
-                threshold = max(threshold, np.partition(sums, self.n - k)[self.n - k])
-        # the sums' rounding must not drop a document that ties
-        rest = bound >= threshold * (1 - 1e-9)
-        rest &= bound > 0
-        rest[likely] = False
-        rest = np.flatnonzero(rest)
-        docs = np.concatenate([likely, rest])
-        scores = np.concatenate([scores, self.full(rest, query)]) if len(rest) else scores
+            return np.zeros(self.blocks * DOCS)
+        docs = np.concatenate([self.post_doc[i:j] for i, j in spans])
+        return np.bincount(docs, weights=np.concatenate([self.post_part[i:j] for i, j in spans]), minlength=self.blocks * DOCS)
+
+    def frequent_sums(self, rows: np.ndarray, lo: int, hi: int) -> np.ndarray:
+        """Sums of rows of frequent terms over the blocks from ``lo`` to ``hi``, rounded up."""
+        out, part, room = np.zeros((hi - lo) * DOCS), None, 65535
+        for r, peak in zip(rows.tolist(), self.peak[rows].tolist(), strict=True):
+            row = self.dense[r, lo * DOCS : hi * DOCS]
+            if part is None:
+                part, room = row.copy(), 65535 - peak
+            elif peak <= room:
+                part += row
+                room -= peak
+            else:  # 16 bits are full
+                out += part
+                part, room = row.copy(), 65535 - peak
+        self.touched += len(rows) * len(out)
+        return (out if part is None else out + part) / SCALE
+
+    def tops(self, queries: list[np.ndarray], k: int, floors: list[float]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Documents and scores of the top k of each query (own numbers). ``floors``: scores that k documents of other
+        shards reach; documents below don't count."""
+        picked = np.zeros((len(queries), len(self.dense)), dtype=np.float32)
+        for i, own in enumerate(queries):
+            rows = self.row[own]
+            picked[i, rows[rows >= 0]] = 1
+        upper = picked @ self.most * np.float32((1 + MARGIN) / SCALE)
+        return [self.top(own, u, k, floor) for own, u, floor in zip(queries, upper, floors, strict=True)]
+
+    def top(self, own: np.ndarray, upper: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
+        """``upper``: for each block, the sum of the maxima of the query's frequent terms."""
+        sums = self.rare_sums(own)
+        bound = sums.reshape(-1, DOCS).max(1) * (1 + MARGIN) + upper
+        if not floor:  # a threshold from likely documents of the best blocks
+            blocks = np.argpartition(bound, self.blocks - min(self.blocks, k))[self.blocks - min(self.blocks, k) :]
+            likely = (blocks[:, None] * DOCS + np.arange(DOCS)).reshape(-1)
+            likely = likely[likely < self.n]
+            if len(likely) > 2 * k:
+                likely = likely[np.argpartition(sums[likely], len(likely) - 2 * k)[len(likely) - 2 * k :]]
+            scores = self.full(likely, own)
+            floor = np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) >= k else 0.0
+        least = max(floor * (1 - MARGIN), 1e-12)
+        blocks = np.flatnonzero(bound >= least)
+        if not len(blocks):
+            return np.zeros(0, np.int64), np.zeros(0)
+        rows = self.row[own]
+        rows = rows[rows >= 0]
+        lo, hi = int(blocks[0]), int(blocks[-1]) + 1
+        if 8 * len(blocks) < hi - lo:  # few blocks are open: these alone
+            at = (blocks[:, None] * DOCS + np.arange(DOCS)).reshape(-1)
+            sums = sums[at] + self.cells[rows[:, None], blocks].sum(0, dtype=np.int64).reshape(-1) / SCALE
+            self.touched += len(rows) * len(at)
+        else:
+            at = np.arange(lo * DOCS, hi * DOCS)
+            sums = sums[lo * DOCS : hi * DOCS] + self.frequent_sums(rows, lo, hi)
+        # sums are above the scores by less than a unit for each frequent term
+        pick = np.flatnonzero(sums >= least)
+        if len(pick) > 2 * k:
+            held = sums[pick]
+            pick = pick[held >= (np.partition(held, len(held) - k)[len(held) - k] - len(rows) / SCALE) * (1 - MARGIN)]
+        docs = at[pick]
+        docs = docs[docs < self.n]
+        scores = self.full(docs, own)
         order = np.lexsort((self.doc_ids[docs], -scores))[:k]
         order = order[scores[order] > 0]
-        return docs[order], scores[order], len(docs)
+        return docs[order], scores[order]
 
 
 def _search(shared, k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         s = shared.value
-        held: list[pd.DataFrame] = []
+        queries = np.split(s["terms"], s["start"][1:-1])
         # the task's top k of each query so far: its k-th score prunes the shards to come
-        best = [(np.zeros(0, np.int64), np.zeros(0))] * len(s["qid"])
-
-        def answer() -> None:
-            rows = pd.concat(held)  # the parts go
-            held.clear()
-            per_doc = rows["terms"].map(len).to_numpy() // 4
-            shard = Shard(
-                rows["doc_id"].to_numpy(dtype=np.int64), rows["length"].to_numpy(dtype=float), np.frombuffer(b"".join(rows["terms"]), dtype=np.int32),
-                np.frombuffer(b"".join(rows["counts"]), dtype=np.int32), per_doc, s["idf"], s["mean"],
-            )
-            del rows, per_doc
-            for q in range(len(best)):
-                ids, scores = best[q]
-                docs, found, _ = shard.top(s["terms"][s["start"][q] : s["start"][q + 1]], k, scores[-1] if len(scores) == k else 0.0)
-                if len(docs):
-                    ids, scores = np.concatenate([ids, shard.doc_ids[docs]]), np.concatenate([scores, found])
-                    first = np.lexsort((ids, -scores))[:k]
-                    best[q] = ids[first], scores[first]
-
-        n = postings = 0
+        best = [(np.zeros(0, np.int64), np.zeros(0))] * len(queries)
         for b in batches:
-            if len(b):
-                held.append(b)
-                n, postings = n + len(b), postings + b["terms"].map(len).sum() // 4
-            if n >= SHARD_DOCS or postings >= SHARD_POSTINGS:
-                answer()
-                n = postings = 0
-        if held:
-            answer()
+            for row in (r._asdict() for r in b.itertuples(index=False)):
+                shard = Shard(row, s["words"], s["idf"], s["mean"])
+                for lo in range(0, len(queries), TOGETHER):
+                    held = best[lo : lo + TOGETHER]
+                    tops = shard.tops([shard.known(q) for q in queries[lo : lo + TOGETHER]], k, [x[-1] if len(x) == k else 0.0 for _, x in held])
+                    for q, ((ids, scores), (docs, found)) in enumerate(zip(held, tops, strict=True), lo):
+                        if len(docs):
+                            ids, scores = np.concatenate([ids, shard.doc_ids[docs]]), np.concatenate([scores, found])
+                            first = np.lexsort((ids, -scores))[:k]
+                            best[q] = ids[first], scores[first]
+                del shard
         counts = [len(ids) for ids, _ in best]
         if sum(counts):
             yield pd.DataFrame({
@@ -244,36 +351,33 @@ def search(docs: DataFrame, queries: DataFrame, *, k: int = 10, id_col: str = "d
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     asked = checkpointed(query_terms(queries.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).where(F.size("terms") > 0))
-    result = None
-    held, size = [], 0
-    for row in asked.orderBy("qid").toLocalIterator():
+    index = build_index(docs)
+    results, held, size = [], [], 0
+    for row in asked.orderBy("qid").toLocalIterator():  # no more than a block is held
         if held and (len(held) >= QUERIES or size + len(row.terms) > TERMS):
-            found = _block(spark, docs, held, k)
-            result, held, size = found if result is None else result.unionByName(found), [], 0
+            results.append(checkpointed(_block(spark, index, held, k)))
+            held, size = [], 0
         held.append((row.qid, np.array(row.terms, dtype=np.int64)))
         size += len(row.terms)
     if held:
-        found = _block(spark, docs, held, k)
-        result = found if result is None else result.unionByName(found)
-    return result if result is not None else spark.createDataFrame([], "qid long, rank int, doc_id long, score double")
+        results.append(_block(spark, index, held, k))
+    return reduce(DataFrame.unionByName, results) if results else spark.createDataFrame([], "qid long, rank int, doc_id long, score double")
 
 
-def _block(spark, docs: DataFrame, queries: list[tuple[int, np.ndarray]], k: int) -> DataFrame:
+def _block(spark, index: tuple[DataFrame, int, float], queries: list[tuple[int, np.ndarray]], k: int) -> DataFrame:
     """The top k of one block of queries."""
+    shards, n, mean = index
     words = np.unique(np.concatenate([t for _, t in queries]))
-    rows = checkpointed(docs.mapInArrow(_forward(spark.sparkContext.broadcast(words)), "doc_id bigint, length bigint, terms binary, counts binary"))
-    total = rows.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
     # one row per term of the block: bounded by TERMS
     df = np.zeros(len(words), dtype=np.int64)
-    counted = rows.select("terms").mapInPandas(_frequencies(len(words)), "term int, df bigint").groupBy("term").agg(F.sum("df").alias("df")).toPandas()
+    counted = shards.select("vocabulary", "df").mapInPandas(_frequencies(spark.sparkContext.broadcast(words)), "term int, df bigint").groupBy("term").agg(F.sum("df").alias("df")).toPandas()
     df[counted["term"]] = counted["df"]
-    idf = np.log(1 + (total.n - df + 0.5) / (df + 0.5))
+    numbers = [np.searchsorted(words, t) for _, t in queries]
     shared = spark.sparkContext.broadcast({
-        "idf": idf, "mean": max(float(total.mean or 0), 1e-9), "qid": [q for q, _ in queries],
-        "terms": np.concatenate([np.searchsorted(words, t) for _, t in queries]), "start": np.concatenate(([0], np.cumsum([len(t) for _, t in queries]))),
+        "words": words, "idf": np.log(1 + (n - df + 0.5) / (df + 0.5)), "mean": mean, "qid": [q for q, _ in queries],
+        "terms": np.concatenate(numbers).astype(np.int32), "start": np.concatenate(([0], np.cumsum([len(t) for t in numbers]))),
     })
-    shards = max(2 * spark.sparkContext.defaultParallelism, -(-total.n // SHARD_DOCS))
-    found = rows.coalesce(shards).mapInPandas(_search(shared, k), "query int, qid bigint, doc_id bigint, score double")
+    found = shards.mapInPandas(_search(shared, k), "query int, qid bigint, doc_id bigint, score double")
     best = Window.partitionBy("query").orderBy(F.col("score").desc(), F.col("doc_id"))
     found = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return found.select("qid", "rank", "doc_id", "score")

@@ -39,7 +39,8 @@ from planscope.llm.common import WORD, checkpointed, release_memory, table
 
 MIN_WORDS = 10
 BASE = 0x9E3779B97F4A7C15  # of the hashes of runs; odd, so that it has an inverse
-LENGTH = np.uint64(0xD1342543DE82EF95)
+LENGTH, PAIR = np.uint64(0xD1342543DE82EF95), np.uint64(0xBF58476D1CE4E5B9)
+LINES = 200_000  # of the pairs that are aligned together
 
 
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -79,7 +80,7 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
             seen_a[a[i]] = -1 if a[i] in seen_a else i
         seen_b: dict[int, int] = {}
         for j in range(b0, b1):
-            if a[a0:a1] and b[j] in seen_a:
+            if b[j] in seen_a:
                 seen_b[b[j]] = -1 if b[j] in seen_b else j
         unique = sorted((i, seen_b[x]) for x, i in seen_a.items() if i >= 0 and seen_b.get(x, -1) >= 0)
         anchors = _increasing(unique)
@@ -104,8 +105,8 @@ def run_names(lines: np.ndarray, words: np.ndarray, least: int, sizes: np.ndarra
     stop = np.searchsorted(after, before + least, side="left")
     start = np.searchsorted(before, after - least, side="right") - 1
     down, up = stop < high, start >= low
-    ends = np.stack([np.append(place[down], start[up]), np.append(stop[down], place[up])], 1)
-    first, last = np.unique(ends, axis=0).T if len(ends) else ends.T
+    ends = np.unique(np.append(place[down], start[up]) << 32 | np.append(stop[down], place[up]))
+    first, last = ends >> 32, ends & 0xFFFFFFFF
     # a polynomial of the line hashes, modulo 2**64, from prefix sums
     power = np.cumprod(np.append(np.uint64(1), np.full(len(line), BASE, dtype=np.uint64)))
     back = np.cumprod(np.append(np.uint64(1), np.full(len(line), pow(BASE, -1, 1 << 64), dtype=np.uint64)))
@@ -116,27 +117,35 @@ def run_names(lines: np.ndarray, words: np.ndarray, least: int, sizes: np.ndarra
 
 def aligned_blocks(a: list[int], words: list[int], b: list[int], least: int) -> list[int]:
     """Lines of ``a`` in runs of ``least`` words or more that patience aligns with a run of ``b``."""
-    out, run, before = [], [], (-2, -2)
-    for i, j in [*patience(a, b), (-9, -9)]:
-        if (i, j) != (before[0] + 1, before[1] + 1):
-            if sum(words[k] for k in run) >= least:
+    out, run, total, after = [], [], 0, (-2, -2)
+    for i, j in patience(a, b):
+        if (i, j) != after:
+            if total >= least:
                 out += run
-            run = []
+            run, total = [], 0
         run.append(i)
-        before = (i, j)
-    return out
-
-
-def common_blocks(a: np.ndarray, words: np.ndarray, b: np.ndarray, b_words: np.ndarray, least: int) -> np.ndarray:
-    """Numbers of the lines of ``a`` (hashes) in blocks: aligned by patience, or moved or repeated in one of the two."""
-    gone = np.zeros(len(a), dtype=bool)
-    gone[aligned_blocks(a.tolist(), words.tolist(), b.tolist(), least)] = True
-    if not gone.all():
-        name, first, last = run_names(a, words, least, np.array([len(a)]))
-        there = np.isin(name, run_names(b, b_words, least, np.array([len(b)]))[0])
-        steps = np.bincount(first[there], minlength=len(a) + 1) - np.bincount(last[there] + 1, minlength=len(a) + 1)
-        gone |= np.cumsum(steps)[:-1] > 0
-    return np.flatnonzero(gone).astype(np.int32)
+        total += words[i]
+        after = (i + 1, j + 1)
+    return out + run if total >= least else out
+
+
+def common_blocks(a: list[np.ndarray], words: list[np.ndarray], b: list[np.ndarray], b_words: list[np.ndarray], least: int) -> list[np.ndarray]:
+    """For each pair, numbers of the lines of ``a`` (hashes) in blocks: aligned by patience, or moved or repeated in one of the two."""
+    size, b_size = (np.array([len(x) for x in side], dtype=np.int64) for side in (a, b))
+    low = np.cumsum(size) - size
+    gone = np.zeros(int(size.sum()), dtype=bool)
+    for at, x, w, y in zip(low.tolist(), a, words, b, strict=True):
+        found = aligned_blocks(x.tolist(), w.tolist(), y.tolist(), least)
+        if found:
+            gone[at + np.array(found)] = True
+    name, first, last = run_names(np.concatenate(a), np.concatenate(words), least, size)
+    b_name, b_first, _ = run_names(np.concatenate(b), np.concatenate(b_words), least, b_size)
+    # names of all pairs at once, each mixed with its pair
+    pair = (np.arange(len(size)).astype(np.uint64) * PAIR).view(np.int64)
+    there = np.isin(name + np.repeat(pair, size)[first], b_name + np.repeat(pair, b_size)[b_first])
+    steps = np.bincount(first[there], minlength=len(gone) + 1) - np.bincount(last[there] + 1, minlength=len(gone) + 1)
+    gone |= np.cumsum(steps)[:-1] > 0
+    return [np.flatnonzero(x).astype(np.int32) for x in np.split(gone, low[1:])]
 
 
 def line_table(docs: DataFrame) -> DataFrame:
@@ -173,7 +182,10 @@ def aligned_lines(pairs: DataFrame, lines: DataFrame, least: int) -> DataFrame:
 
     @F.pandas_udf("array<int>")
     def blocks(a: pd.Series, w: pd.Series, b: pd.Series, v: pd.Series) -> pd.Series:
-        return pd.Series([common_blocks(*x, least) for x in zip(a, w, b, v, strict=True)], dtype=object)
+        out, cut = [], np.cumsum(a.map(len) + b.map(len)).to_numpy() // LINES
+        for part in np.split(np.arange(len(a)), np.flatnonzero(np.diff(cut)) + 1):
+            out += common_blocks(*(list(x.iloc[part]) for x in (a, w, b, v)), least) if len(part) else []
+        return pd.Series(out, dtype=object)
 
     # the partner's lines first, so that what travels to the later document is a pair of small arrays
     found = pairs.join(earlier, "other").join(lines, ["doc_id", "version"]).select("doc_id", "version", blocks("lines", "words", "theirs", "their_words").alias("gone"))
@@ -186,6 +198,7 @@ def deleted_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, version, deleted): numbers of the lines (from 0) that go, for documents that lose any."""
     lines = checkpointed(line_table(docs).dropDuplicates(["doc_id", "version"]).withColumn("kind", F.xxhash64("lines")))
     kinds = lines.groupBy("kind").agg(F.min("doc_id").alias("origin"), F.max("doc_id").alias("last")).where("origin <> last").drop("last")
+    kinds = kinds.repartition("origin")  # so that the join has exchanges of its own, which adaptive execution can split
     lines = checkpointed(lines.join(kinds, "kind", "left").drop("kind"))
     total = F.aggregate("words", F.lit(0), lambda x, y: x + y)
     copies = lines.where((F.col("doc_id") > F.col("origin")) & (total >= min_words))

@@ -52,18 +52,69 @@ def test_against_scoring_everything(spark, monkeypatch, queries, shard):
         assert [x[1] for x in got[q]] == [x[1] for x in want[q]] and all(abs(a[0] - b[0]) < 1e-6 for a, b in zip(got[q], want[q], strict=True))
 
 
+def shard_of(terms, counts, size, ids=None):
+    import numpy as np
+
+    df = np.bincount(np.concatenate(terms), minlength=size)
+    row = bm.pack(np.arange(len(terms)) if ids is None else ids, [t.astype(np.int64) for t in terms], list(counts))
+    mean = float(np.mean([c.sum() for c in counts]))
+    return bm.Shard(row, np.arange(size), np.log(1 + (len(terms) - df + 0.5) / (df + 0.5)), mean), df
+
+
+def search_one(shard, query, k, floor=0.0):
+    return shard.tops([shard.known(query)], k, [floor])[0]
+
+
 def test_a_shard_prunes():
+    """Twelve vocabularies: blocks of the other ones are not opened, and fewer parts are read than without pruning."""
     import numpy as np
 
     rng = np.random.default_rng(1)
-    per_doc = np.full(5000, 20)
-    terms = np.concatenate([np.sort(rng.choice(3000, 20, replace=False, p=(p := 1 / np.arange(1, 3001)) / p.sum())) for _ in range(5000)]).astype(np.int32)
-    df = np.bincount(terms, minlength=3000)
-    shard = bm.Shard(np.arange(5000), np.full(5000, 20.0), terms, np.ones(len(terms), np.int32), per_doc, np.log(1 + (5000 - df + 0.5) / (df + 0.5)), 20.0)
-    docs, scores, scored = shard.top(terms[:20], 10)
-    everything = shard.full(np.arange(5000), terms[:20])
-    assert scored < 2500 and shard.doc_ids[docs[0]] == 0
-    assert np.allclose(scores, np.sort(everything)[::-1][:10])
+    p = (p := 1 / np.arange(1, 301)) / p.sum()
+    terms = [np.sort(rng.choice(300, 20, replace=False, p=p)) + 300 * (i % 12) for i in range(12_000)]
+    shard, _ = shard_of(terms, [np.ones(20, np.int32)] * 12_000, 3600)
+    own = shard.known(terms[0])
+    everything = shard.full(np.arange(12_000), own)
+    frequent, rare = int((shard.row[own] >= 0).sum()), int(sum(shard.post[t + 1] - shard.post[t] for t in own if shard.row[t] < 0))
+    assert frequent > 5
+    docs, scores = search_one(shard, terms[0], 10)
+    assert shard.doc_ids[docs[0]] == 0 and np.allclose(scores, np.sort(everything)[::-1][:10])
+    for floor, share in ((scores[-1], 1 / 12), (scores[0], 1 / 50), (2 * scores[0], 1 / 100)):
+        shard.touched = 0
+        docs, _ = search_one(shard, terms[0], 10, floor)
+        assert len(docs) == (everything >= floor).sum() and shard.touched - rare < frequent * 12_000 * share
+
+
+@pytest.mark.parametrize("k", [1, 10, 200])
+def test_a_shard_is_exact(k):
+    import numpy as np
+
+    rng = np.random.default_rng(k)
+    p = (p := 1 / np.arange(1, 801)) / p.sum()
+    terms = [np.sort(rng.choice(800, rng.integers(1, 60), replace=False, p=p)) for _ in range(900)]
+    terms += [terms[i] for i in rng.integers(0, 900, 100)]  # ties
+    counts = [rng.integers(1, 400, len(t)).astype(np.int32) if i % 7 == 0 else np.ones(len(t), np.int32) for i, t in enumerate(terms)]
+    shard, _ = shard_of(terms, counts, 800, rng.permutation(1000))
+    for q in range(0, 1000, 37):
+        own = shard.known(terms[q])
+        everything = shard.full(np.arange(1000), own)
+        want = np.lexsort((shard.doc_ids, -everything))[:k]
+        want = want[everything[want] > 0]
+        for floor in (0.0, everything[want[-1]], everything[want[0]]):
+            docs, scores = search_one(shard, terms[q], k, floor)
+            up = [d for d in want if everything[d] >= floor]
+            assert docs.tolist()[: len(up)] == up and np.array_equal(scores[: len(up)], everything[up])
+
+
+def test_long_repeated_and_clashing(spark):
+    """A text of 300,000 words, a query whose id is repeated, and columns called like the operator's own."""
+    long = " ".join(f"x{i % 5000} y{i % 77}" for i in range(150_000))
+    rows = [(0, long, 1, "a"), (0, "x1 x2 x3", 2, "b"), (1, "x1 x2 x3", 3, "c"), (2, "y1 z", 4, "d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, qid int, terms string")
+    got = bm.search(df, df.where("doc_id = 0"), k=3)
+    assert got.columns == ["qid", "rank", "doc_id", "score"]
+    # the long text's query finds all four, the short one's the two equal texts and the long one
+    assert sorted((r["qid"], r["rank"]) for r in got.collect()) == [(0, 1), (0, 1), (0, 2), (0, 2), (0, 3), (0, 3)]
 
 
 def test_empty(spark):

@@ -66,7 +66,7 @@ def test_pairs_take_moved_and_repeated_blocks():
         a, b = ([-1 if not words[i] else i for i in x] for x in (a, b))
         wa, wb = ([words.get(i, 0) for i in x] for x in (a, b))
         a, b = ([name[i] for i in x] for x in (a, b))
-        got = ld.common_blocks(*(np.array(x, dtype=np.int64) for x in (a, wa, b, wb)), ld.MIN_WORDS).tolist() if a and b else []
+        got = ld.common_blocks(*([np.array(x, dtype=np.int64)] for x in (a, wa, b, wb)), ld.MIN_WORDS)[0].tolist() if a and b else []
         assert got == (brute(rows, ld.MIN_WORDS)[2] if a and b else [])
         plain = ld.aligned_blocks(a, wa, b, ld.MIN_WORDS)
         assert set(plain) <= set(got)
