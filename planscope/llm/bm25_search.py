@@ -44,7 +44,7 @@ from planscope.llm.common import checkpointed, release_memory, table, text_slice
 K1, B = 1.2, 0.75
 QUERIES, TERMS = 8192, 2_000_000
 #: A shard closes when it has so many documents (16-bit numbers) or postings: this bounds a task's memory.
-SHARD_DOCS, SHARD_POSTINGS = 32_768, 7_000_000
+SHARD_DOCS, SHARD_POSTINGS = 32_768, 4_000_000
 #: So many of a shard's most frequent terms tell which documents stand together.
 TOPS = 64
 DOCS = 16
@@ -93,10 +93,12 @@ def pack(doc_ids: np.ndarray, terms: list[np.ndarray], counts: list[np.ndarray])
     Empties ``terms`` and ``counts``."""
     lengths = np.array([c.sum() for c in counts], dtype=np.int64)
     doc = np.repeat(np.arange(len(terms), dtype=np.uint16), [len(t) for t in terms])
-    term, count = np.concatenate(terms), np.concatenate(counts)
+    term = np.concatenate(terms)
     terms.clear()
+    count = np.concatenate(counts)
     counts.clear()
-    by_term = np.argsort(term, kind="stable")
+    count = count.astype(np.min_scalar_type(max(count.max(initial=0), 1)))
+    by_term = np.argsort(term)
     term, doc, count = term[by_term], doc[by_term], count[by_term]
     del by_term
     first = np.flatnonzero(np.append(True, term[1:] != term[:-1])) if len(term) else np.zeros(0, dtype=np.int64)
@@ -114,8 +116,7 @@ def pack(doc_ids: np.ndarray, terms: list[np.ndarray], counts: list[np.ndarray])
     order = np.lexsort((doc_ids, lengths, top))
     place = np.empty(len(order), dtype=np.uint16)
     place[order] = np.arange(len(order))
-    kind = np.uint8 if not len(count) or count.max() < 256 else np.int32
-    arrays = (doc_ids[order].astype(np.int64), lengths[order], vocabulary.astype(np.int64), df, place[doc], count.astype(kind))
+    arrays = (doc_ids[order].astype(np.int64), lengths[order], vocabulary.astype(np.int64), df, place[doc], count)
     return dict(zip(_SHARD, (len(doc_ids), int(lengths.sum()), *(x.tobytes() for x in arrays)), strict=True))
 
 
@@ -182,7 +183,7 @@ class Shard:
         self.doc_ids, lengths, df = read("doc_ids", np.int64), read("lengths", np.int64), read("df", np.int32)
         self.n = len(self.doc_ids)
         doc = read("post_doc", np.uint16)
-        count = read("post_count", np.uint8 if len(row["post_count"]) == len(doc) else np.int32)
+        count = read("post_count", f"u{max(1, len(row['post_count']) // max(1, len(doc)))}")
         at, known = _look_up(words, read("vocabulary", np.int64))
         kept = np.repeat(known, df)
         at, df = at[known], df[known]
