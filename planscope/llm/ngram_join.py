@@ -11,14 +11,17 @@ accumulated only where a size-derived bound lets a pair qualify:
 3. A column with at most ``SMALL`` classes gives pairs within the bounds on sizes and positions; a parity bitmap of
    each class bounds the symmetric difference from below and discards most of the rest; the overlap of those
    that remain is counted on the whole sets.
-4. A column with more classes is multiplied by blocks: its classes are hashed to blocks of about ``BLOCK``, a task
-   gets two blocks, multiplies their whole rows, and returns a spanning forest of the links it found. That
-   is exact for components and never writes the pairs of a group.
+4. A column with more classes is multiplied by blocks: its classes are ordered by set size into bands such that only
+   sets of the same band or of neighbouring ones can link, and hashed within a band to blocks of about ``BLOCK``. A
+   task gets two blocks, multiplies their whole rows, and returns a spanning forest of the links it found; block pairs
+   of other bands are never made. That is exact for components and never writes the pairs of a group.
 5. Links join to components (``components.py``), classes take theirs to all documents.
 
 Defined cases: null and empty texts have the empty set and stay alone; equal texts (and texts with equal sets)
 are linked; a repeated row belongs to the same component; with a null id the component is the smallest id that is
-not null. Hashes are 64-bit. Input columns other than the outputs are kept by ``jaccard_components``.
+not null. Hashes are 64-bit. ``jaccard_components`` returns its own columns only. ``ngram_join_stage`` keeps one row of
+each component, of least id (null ids last), then of least text hash; rows that share an id with different texts are
+different documents, equal rows are one.
 """
 
 from __future__ import annotations
@@ -72,7 +75,7 @@ def least_difference(a: bytes, b: bytes) -> int:
 
 
 def _describe(words: int):
-    """(doc_id, key, class, n, bitmap) per row, and the task's share of the column sketch as slices."""
+    """(doc_id, key, hash, class, n, bitmap) per row, and the task's share of the column sketch as slices."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, seen = np.zeros(1 << SKETCH_BITS, dtype=np.int64), set()
@@ -90,16 +93,16 @@ def _describe(words: int):
                     np.add.at(sketch, (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
-                names=["doc_id", "key", "class", "n", "bitmap", "slice", "counts"],
+                [batch.column(0), batch.column(2), batch.column(3), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
+                names=["doc_id", "key", "hash", "class", "n", "bitmap", "slice", "counts"],
             )
         parts = sketch.reshape(SLICES, -1)
         if sketch.any():
             release_memory()
             none = pa.nulls(SLICES, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [none, none, none, none, pa.nulls(SLICES, pa.binary()), pa.array(range(SLICES), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())],
-                names=["doc_id", "key", "class", "n", "bitmap", "slice", "counts"],
+                [none, none, none, none, none, pa.nulls(SLICES, pa.binary()), pa.array(range(SLICES), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())],
+                names=["doc_id", "key", "hash", "class", "n", "bitmap", "slice", "counts"],
             )
 
     return run
@@ -291,15 +294,35 @@ def _overlap_enough(percent: int):
 
 
 def describe(docs: DataFrame, words: int) -> tuple[DataFrame, object]:
-    """(doc_id, key, class, n, bitmap) of ``docs`` (doc_id, text, key), checkpointed, and the broadcast column sketch."""
+    """(doc_id, key, hash, class, n, bitmap) of ``docs`` (doc_id, text, key, hash), checkpointed, and the broadcast column sketch."""
     spark = docs.sparkSession
-    rows = checkpointed(docs.mapInArrow(_describe(words), "doc_id bigint, key bigint, class bigint, n bigint, bitmap binary, slice int, counts binary"))
+    rows = checkpointed(docs.mapInArrow(_describe(words), "doc_id bigint, key bigint, hash bigint, class bigint, n bigint, bitmap binary, slice int, counts binary"))
     parts = rows.where("slice is not null").select("slice", "counts").mapInPandas(_sum_some, "slice int, counts binary")
     slices = parts.groupBy("slice").applyInPandas(_sum_slices, "slice int, counts binary").collect()  # 64 rows, 2 MB in all
     sketch = np.zeros((SLICES, (1 << SKETCH_BITS) // SLICES), dtype=np.int64)
     for r in slices:
         sketch[r["slice"]] = np.frombuffer(r["counts"], dtype=np.int64)
-    return rows.where("slice is null").select("doc_id", "key", "class", "n", "bitmap"), spark.sparkContext.broadcast(sketch.reshape(-1))
+    return rows.where("slice is null").select("doc_id", "key", "hash", "class", "n", "bitmap"), spark.sparkContext.broadcast(sketch.reshape(-1))
+
+
+def _deal(members: DataFrame, percent: int) -> DataFrame:
+    """(token, lo, hi, block, class) of members (token, class, size): each class in every pair of blocks that it is part of.
+
+    Sizes a <= b of sets that link satisfy 100 * a >= percent * b. Bands are powers of 100 / percent, so links lie within a band or
+    between neighbours; blocks are numbered band * 2**20 + block."""
+    band = F.floor(F.log(F.col("size").cast("double")) / F.lit(float(np.log(100 / percent))) + 1e-9).cast("int") if percent < 100 else F.col("size").cast("int")
+    rows = members.withColumn("band", band)
+    blocks = rows.groupBy("token", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
+    near = blocks.join(blocks.select("token", (F.col("band") - 1).alias("band"), F.col("k").alias("above")), ["token", "band"], "left")
+    near = near.join(blocks.select("token", (F.col("band") + 1).alias("band"), F.col("k").alias("below")), ["token", "band"], "left")
+    number = lambda band, block: (band.cast("bigint") * (1 << 20) + block).cast("bigint")
+    rows = rows.join(near, ["token", "band"])
+    block = F.pmod(F.xxhash64("class"), F.col("k")).cast("int")
+    every = lambda k, shift: F.transform(F.sequence(F.lit(0), F.greatest(k, F.lit(1)) - 1), lambda x: number(F.col("band") + shift, x))
+    none = F.array().cast("array<bigint>")
+    others = F.concat(every(F.col("k"), 0), F.when(F.col("above").isNotNull(), every(F.col("above"), 1)).otherwise(none), F.when(F.col("below").isNotNull(), every(F.col("below"), -1)).otherwise(none))
+    dealt = rows.select("token", "class", number(F.col("band"), block).alias("block"), F.explode(others).alias("other"))
+    return dealt.select("token", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "class")
 
 
 def class_links(docs: DataFrame, described: DataFrame, sketch, words: int, percent: int) -> DataFrame:
@@ -314,7 +337,7 @@ def class_links(docs: DataFrame, described: DataFrame, sketch, words: int, perce
     right = classes.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.col("bitmap").alias("mb"))
     pairs = pairs.join(left, "a").join(right, "b").where(_passes_bitmaps(percent)("na", "ma", "nb", "mb")).select("a", "b")
     pairs = checkpointed(pairs)
-    members = found.where("b is null").select("token", F.col("a").alias("class"))
+    members = found.where("b is null").select("token", F.col("a").alias("class"), F.shiftright("place", 32).alias("size")).dropDuplicates(["token", "class"])
 
     # whole sets of the classes that any of these need, from the text of one document each
     needed = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).union(members.select("class")).distinct()
@@ -322,31 +345,32 @@ def class_links(docs: DataFrame, described: DataFrame, sketch, words: int, perce
     # (a Bloom filter of bounded size keeps most other texts out of the shuffle; the join is exact)
     needed = checkpointed(needed)
     texts = may_contain(docs.select(F.col("key").alias("rep"), "text"), "rep", needed, "rep").join(needed, "rep")
-    sets = checkpointed(texts.select("class", "n", "text").mapInArrow(_sets(words), "class bigint, n bigint, tokens array<bigint>"))
+    sets = texts.select("class", "n", "text").mapInArrow(_sets(words), "class bigint, n bigint, tokens array<bigint>")
+    sets = checkpointed(sets.dropDuplicates(["class"]))  # repeated rows of one document have one set
 
     a = sets.select(F.col("class").alias("a"), F.col("tokens").alias("ta"))
     b = sets.select(F.col("class").alias("b"), F.col("tokens").alias("tb"))
     sure = pairs.join(a, "a").join(b, "b").where(_overlap_enough(percent)("ta", "tb")).select("a", "b")
 
-    size = members.groupBy("token").agg(F.count("*").alias("l"))
-    placed = members.join(size, "token").withColumn("k", F.ceil(F.col("l") / BLOCK).cast("int"))
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("class"), F.col("k")).cast("int"))
-    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    dealt = dealt.select("token", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "class")
-    product = dealt.join(sets, "class").groupBy("token", "lo", "hi").applyInPandas(_block_links(percent), "a bigint, b bigint")
+    product = _deal(members, percent).join(sets, "class").groupBy("token", "lo", "hi").applyInPandas(_block_links(percent), "a bigint, b bigint")
     return sure.unionByName(product)
 
 
-def jaccard_components(docs: DataFrame, *, words: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) per row of ``docs``; linked when 100 * |A & B| >= percent * |A | B|."""
+def jaccard_rows(docs: DataFrame, *, words: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, hash, n, root) per row of ``docs``: rows of one component share ``root``; ``hash`` names the text."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    docs = docs.withColumn("key", F.coalesce("doc_id", F.xxhash64("text")))  # finds a text again, also without an id
+    docs = docs.withColumn("key", F.coalesce("doc_id", F.xxhash64("text"))).withColumn("hash", F.xxhash64("text"))  # finds a text again, also without an id
     described, sketch = describe(docs, words)
-    links = class_links(docs, described, sketch, words, percent)
-    root = connected_components(links)
-    rows = described.select("doc_id", "class", "n").join(root, F.col("class") == F.col("node"), "left")
-    rows = rows.select("doc_id", "n", F.coalesce("root", "class").alias("root"))
+    root = connected_components(class_links(docs, described, sketch, words, percent))
+    rows = described.select("doc_id", "hash", "class", "n").join(root, F.col("class") == F.col("node"), "left")
+    return rows.select("doc_id", "hash", "n", F.coalesce("root", "class").alias("root"))
+
+
+def jaccard_components(docs: DataFrame, *, words: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id) per row of ``docs``; linked when 100 * |A & B| >= percent * |A | B|."""
+    rows = jaccard_rows(docs, words=words, percent=percent, id_col=id_col, text_col=text_col)
     least = rows.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    least = least.repartition("component_id")  # so that the join has exchanges of its own, which adaptive execution can split
     out = rows.join(least, "root", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
@@ -356,11 +380,28 @@ def op3_ngram_join(spark, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), words=4, percent=85)
 
 
+def first_of_components(docs: DataFrame, *, words: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` for each component; documents without words all stay."""
+    rows = jaccard_rows(docs, words=words, percent=percent, id_col=id_col, text_col=text_col)
+    # rows with equal id and text are one document
+    each = checkpointed(rows.where("n > 0").groupBy("root", "doc_id", "hash").agg(F.count("*").alias("copies")))
+    first = each.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("first")).repartition("first")
+    judged = each.join(first, "root").select("doc_id", "hash", "copies", (F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.hash") == F.col("hash"))).alias("stays"))
+    name = lambda d: [F.coalesce(d.cast("string"), F.lit("null")).alias("__id"), d.isNull().alias("__null")]
+    gone = judged.where(~F.col("stays")).select(*name(F.col("doc_id")), F.col("hash").alias("__hash"))
+    on = ["__id", "__null", "__hash"]
+    own = docs.withColumn("__hash", F.xxhash64(F.col(text_col))).withColumns(dict(zip(on, name(F.col(id_col).cast("long")), strict=False)))
+    kept = own.join(gone, on, "left_anti")
+    several = checkpointed(judged.where(F.col("stays") & (F.col("copies") > 1)).select(*name(F.col("doc_id")), F.col("hash").alias("__hash")))
+    if not several.isEmpty():  # of equal rows one stays; equal rows meet after partial aggregation
+        copies = kept.join(several, on, "left_semi").groupBy(*on).agg(F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("__row"))
+        kept = kept.join(several, on, "left_anti").unionByName(copies.select(*on, "__row.*"))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def ngram_join_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near duplicates (five words, similarity of 0.8 or more): the smallest id of each component stays."""
-    found = jaccard_components(docs, words=5, percent=80)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select("doc_id", "text", "lang", "source", "n_chars")
+    """Near duplicates (five words, similarity of 0.8 or more): the first document of each component stays."""
+    return first_of_components(docs, words=5, percent=80).select("doc_id", "text", "lang", "source", "n_chars")
 
 
 _WORDS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '')"

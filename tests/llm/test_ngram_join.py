@@ -114,3 +114,53 @@ def test_columns_that_batches_cut_keep_all_links(classes, copies, before):
     links = {(r["a"], r["b"]) for r in out if r["b"] is not None} | {(a, b) for a in members for b in members if a < b}
     assert links == {(a, b) for a in range(classes) for b in range(a + 1, classes)}
     assert bool(members) == (classes > nj.SMALL)
+
+
+def test_large_columns_of_many_sizes(spark, monkeypatch):
+    """A passage in documents of very different sizes: bands keep far sizes apart and lose no link."""
+    rng = random.Random(11)
+    passage = [f"p{i}" for i in range(40)]
+    rows = []
+    for i in range(180):
+        w = passage + [f"own{i // 3}x{j}" for j in range(rng.choice([0, 2, 5, 30, 90, 400]))]
+        if rng.random() < 0.3:
+            w[rng.randrange(len(w))] = f"new{i}"
+        rows.append((i, " ".join(w)))
+    monkeypatch.setattr(nj, "BLOCK", 20)
+    monkeypatch.setattr(nj, "SMALL", 8)
+    got = nj.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), words=4, percent=85).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute(rows, 4, 85)
+
+
+def test_far_bands_do_not_meet(spark):
+    members = spark.createDataFrame([(1, c, n) for c, n in enumerate([10, 11, 12, 100, 110, 1000, 1100] * 3)], "token long, class long, size long")
+    size = {c: n for c, n in enumerate([10, 11, 12, 100, 110, 1000, 1100] * 3)}
+    together = {}
+    for r in nj._deal(members, 85).collect():
+        together.setdefault((r.lo, r.hi), set()).add(r["class"])
+    met = {(a, b) for g in together.values() for a in g for b in g if a < b}
+    assert {(a, b) for a in size for b in size if a < b and 100 * min(size[a], size[b]) >= 85 * max(size[a], size[b])} <= met
+    assert not any(10 * min(size[a], size[b]) < 5 * max(size[a], size[b]) for a, b in met)
+
+
+def test_repeated_rows_make_no_more_links(spark):
+    a = " ".join(f"n{i}" for i in range(60))
+    rows = [(1, a)] * 60 + [(2, a + " end")] * 60
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    docs = docs.selectExpr("doc_id", "text", "doc_id AS key", "xxhash64(text) AS hash")
+    described, sketch = nj.describe(docs, 4)
+    assert nj.class_links(docs, described, sketch, 4, 85).count() == 1
+
+
+def test_one_row_of_each_component_stays(spark):
+    a, other = " ".join(f"n{i}" for i in range(60)), " ".join(f"m{i}" for i in range(60))
+    rows = [(1, a, "x"), (5, a, "x"), (5, other, "x"), (7, a + " end", "y"), (7, a + " end", "y"), (None, a, "z"), (None, "quite alone", "z"), (None, None, "n"), (8, "", "n"), (8, "", "n")]
+    rows += [(9, "twice here", "t"), (9, "twice here", "t"), (None, "no id twice", "t"), (None, "no id twice", "t")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, hash string").withColumnRenamed("hash", "n")
+    got = nj.first_of_components(df, words=5, percent=80)
+    assert got.columns == df.columns
+    want = [(1, a, "x"), (5, other, "x"), (None, "quite alone", "z"), (None, None, "n"), (8, "", "n"), (8, "", "n"), (9, "twice here", "t"), (None, "no id twice", "t")]
+    assert sorted(map(str, got.collect())) == sorted(map(str, spark.createDataFrame(want, df.schema).collect()))
+    late = [(None, a, "z"), (None, a + " end", "z"), (None, a, "z")]
+    assert nj.first_of_components(spark.createDataFrame(late, df.schema), words=5, percent=80).count() == 1
+    assert nj.first_of_components(spark.createDataFrame([], df.schema), words=5, percent=80).count() == 0
