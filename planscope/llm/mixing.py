@@ -17,9 +17,13 @@ What reaches the driver are one row per source (quotas for the tree). Block plan
 is one source with at most ``2 * BLOCKS`` rows whatever its size, and a source with a third of all rows
 spreads over its blocks. Reruns agree: all randomness is hashing or seeded generators.
 
+Texts move once at most: sizes and plans are made from hashes and word counts, and a plan of at most ``PLAN`` rows is
+broadcast to the documents (a larger one is joined by source and block).
+
 Defined cases: null text has size 0; null source is a source of its own, last in order; documents of size 0
-are taken in full passes only as their block is; sources without words have target 0; repeated rows are
-separate documents of equal fate (the block and order depend on the id); an empty table gives an empty plan.
+are taken in full passes only as their block is; sources without words have target 0; rows that share an id or have
+none are separate documents (block and order depend on id and text); of rows with equal id and text, which only the
+closing block can split, some get a copy more than others; an empty table gives an empty plan.
 Input columns other than the operator's own outputs are kept.
 """
 
@@ -33,6 +37,10 @@ from pyspark.sql import functions as F
 from planscope.llm.common import WORD, checkpointed, table
 
 BLOCKS = 1024
+#: Rows of the plan (source, block) up to which it is broadcast: some 10 MB.
+PLAN = 100_000
+#: Pieces of an output shard that are shuffled and sorted apart.
+PIECES = 16
 OWN = ["size", "source_size", "target", "taken", "copies", "shards"]
 
 
@@ -82,7 +90,7 @@ def _plan_source(seed: int):
                 elif spare is None and target > 0:
                     spare = number[i]
             if spare is not None:
-                out.append((turn, spare, -1, True))
+                out.append((turn, spare, len(out), True))
                 break
         return pd.DataFrame({
             "__source": key[0], "__turn": [x[0] for x in out], "__block": [x[1] for x in out], "__at": [x[2] for x in out],
@@ -119,59 +127,80 @@ def mix(
     assert 0 < epochs <= most <= 2
     spark = docs.sparkSession
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in OWN]
-    order = F.xxhash64(F.lit(seed), F.col(id_col))
+    order = F.xxhash64(F.lit(seed), F.col(id_col).isNull(), F.col(id_col), F.col(text_col))
     block = F.pmod(F.xxhash64(F.lit("block"), order), F.lit(BLOCKS)).cast("int")
     rows = docs.select(
         *kept, word_count(F.col(text_col)).alias("size"), source_key(F.col(source_col)).alias("__source"),
         block.alias("__block"), order.alias("__order"),
     )
+    slim = checkpointed(rows.select("__source", "__block", "__order", "size"))
     # one row per source and block: at most BLOCKS times the number of sources
-    blocks = checkpointed(rows.groupBy("__source", "__block").agg(F.sum("size").alias("words")))
+    blocks = checkpointed(slim.groupBy("__source", "__block").agg(F.sum("size").alias("words")))
     target = targets(blocks.groupBy("__source").agg(F.sum("words").alias("source_size")), weights, epochs, most)
     units = blocks.join(target, "__source").groupBy("__source").applyInPandas(
         _plan_source(seed), "__source string, __turn int, __block int, __at int, __part boolean, __rest double"
     )
     units = checkpointed(units)
-    quota = units.where("not __part").groupBy("__source").agg(F.count("*").alias("n")).orderBy("__source").collect()
+    quota = units.groupBy("__source").agg(F.count("*").alias("n")).orderBy("__source").collect()
     per_shard = split_tree(np.array([r.n for r in quota], dtype=np.int64), shards, seed)
     until = np.cumsum(per_shard, axis=0)
     cuts = spark.createDataFrame([(r["__source"], [int(x) for x in until[:, k]]) for k, r in enumerate(quota)], "__source string, __cuts array<bigint>")
-    units = units.join(cuts, "__source", "left")
-    shard = F.size(F.filter("__cuts", lambda c: c <= F.col("__at")))
-    units = units.withColumn("__shard", F.when(F.col("__part"), F.pmod(F.xxhash64("__source"), F.lit(shards)).cast("int")).otherwise(shard))
+    units = units.join(cuts, "__source", "left").withColumn("__shard", F.size(F.filter("__cuts", lambda c: c <= F.col("__at"))))
     plan = units.groupBy("__source", "__block").agg(
         F.array_sort(F.collect_list(F.when(~F.col("__part"), F.struct("__turn", "__shard")))).alias("__full"),
         F.max(F.when(F.col("__part"), F.struct("__turn", "__shard", "__rest"))).alias("__last"),
     )
-    # the block that is taken in part: its documents in hash order as long as they fit, a block's documents only
+    plan = checkpointed(plan.join(_closing(slim, plan), ["__source", "__block"], "left").join(target, "__source"))
+    few = plan.count() <= PLAN
+    out = rows.join((F.broadcast(plan) if few else plan).drop("source_size", "target"), ["__source", "__block"], "left")
+    sizes = target.select("__source", "source_size", "target")
+    return _finish(out.join(F.broadcast(sizes) if few else sizes, "__source", "left"), plan, kept)
+
+
+def _closing(slim: DataFrame, plan: DataFrame) -> DataFrame:
+    """(__source, __block, __end): where a block taken in part ends, as a struct of the order and size of the last rows and
+    how many of the rows with these are taken (__take of __of); null if all of the block is."""
     spare = plan.where(F.col("__last").isNotNull()).select("__source", "__block", F.col("__last.__rest").alias("__rest"))
-    parts = docs.select(source_key(F.col(source_col)).alias("__source"), block.alias("__block"), order.alias("__order"), F.col(text_col).alias("__text"))
-    parts = parts.join(spare, ["__source", "__block"]).withColumn("size", word_count(F.col("__text"))).drop("__text")
-    by_order = Window.partitionBy("__source", "__block").orderBy("__order", "size")
-    parts = parts.withColumn("__sum", F.sum("size").over(by_order.rowsBetween(Window.unboundedPreceding, 0)))
-    bound = parts.groupBy("__source", "__block").agg(
-        F.max(F.when(F.abs(F.col("__sum") - F.col("__rest")) <= F.col("__rest"), F.struct(-F.abs(F.col("__sum") - F.col("__rest")), "__order"))).alias("__best")
-    ).select("__source", "__block", F.col("__best.__order").alias("__until"))
-    plan = plan.join(bound, ["__source", "__block"], "left")
-    out = rows.join(plan, ["__source", "__block"], "left")
-    return _finish(out, target, kept)
-
-
-def _finish(out: DataFrame, target: DataFrame, kept: list[Column]) -> DataFrame:
+    keys = slim.join(spare, ["__source", "__block"]).groupBy("__source", "__block", "__order", "size", "__rest").agg(F.count("*").alias("__of"))
+    upto = Window.partitionBy("__source", "__block").orderBy("__order", "size").rowsBetween(Window.unboundedPreceding, 0)
+    words = F.col("size") * F.col("__of")
+    keys = keys.withColumn("__sum", F.sum(words).over(upto)).where(F.col("__sum") > F.col("__rest"))
+    take = F.floor((F.col("__rest") - (F.col("__sum") - words)) / F.col("size") + 0.5)
+    end = F.struct("__order", "size", F.greatest(F.lit(0), F.least("__of", take.cast("long"))).alias("__take"), "__of")
+    return keys.groupBy("__source", "__block").agg(F.min(end).alias("__end"))
+
+
+def _finish(out: DataFrame, plan: DataFrame, kept: list[Column]) -> DataFrame:
     """Copies per document from the plan of its block; documents of blocks that no unit takes have none."""
-    out = out.join(target, "__source", "left")
-    in_part = (F.col("__order") <= F.col("__until")) & F.col("__last").isNotNull()
+    end, here = F.col("__end"), F.struct("__order", "size")
+    before = F.coalesce(here < F.struct("__end.__order", "__end.size"), end.isNull())
+    at_end = F.coalesce(here == F.struct("__end.__order", "__end.size"), F.lit(False))
+    some = at_end & (end["__take"] > 0) & (end["__take"] < end["__of"])
+    whole = F.col("__last").isNotNull() & (before | (at_end & (end["__take"] == end["__of"])))
+    rest = out.withColumn("__more", F.coalesce(whole, F.lit(False)))
+    split = plan.where((F.col("__end.__take") > 0) & (F.col("__end.__take") < F.col("__end.__of")))
+    if not split.isEmpty():
+        # equal rows of which only some are taken: numbered within their partition, whose numbers follow one another
+        equal = checkpointed(rest.where(some).withColumns({"__pid": F.spark_partition_id(), "__mid": F.monotonically_increasing_id()}))
+        per = equal.groupBy("__source", "__order", "__pid").agg(F.count("*").alias("__n"))
+        earlier = Window.partitionBy("__source", "__order").orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+        per = per.withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0))).drop("__n")
+        number = F.row_number().over(Window.partitionBy("__source", "__order", "__pid").orderBy("__mid")) + F.col("__before")
+        equal = equal.join(per, ["__source", "__order", "__pid"]).withColumn("__more", number <= F.col("__end.__take"))
+        rest = rest.where(~some).unionByName(equal.select(*rest.columns))
     taken = F.coalesce(F.transform("__full", lambda u: u["__shard"]), F.array().cast("array<int>"))
-    taken = F.when(F.coalesce(in_part, F.lit(False)), F.concat(taken, F.array(F.col("__last.__shard")))).otherwise(taken)
-    out = out.withColumn("shards", taken).withColumn("copies", F.size("shards"))
-    return out.select(*kept, "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "shards")
+    taken = F.when(F.col("__more"), F.concat(taken, F.array(F.col("__last.__shard")))).otherwise(taken)
+    rest = rest.withColumn("shards", taken).withColumn("copies", F.size("shards"))
+    return rest.select(*kept, "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "shards")
 
 
 def shuffled(mixed: DataFrame, seed: int = 17, id_col: str = "doc_id") -> DataFrame:
-    """One row per copy with its shard and its place in the shard's local order."""
+    """One row per copy with its shard and its place in the shard's local order; each shard's ``PIECES`` pieces are a partition's
+    sorted run each."""
     kept = [c for c in mixed.columns if c not in ("shards", "shard", "place", "copy")]
     rows = mixed.select(*[F.col(f"`{c}`") for c in kept], F.posexplode("shards").alias("copy", "shard"))
-    return rows.withColumn("place", F.xxhash64(F.lit(seed), F.col("copy"), F.col(id_col)))
+    rows = rows.withColumn("place", F.xxhash64(F.lit(seed), F.col("copy"), F.col(id_col)))
+    return rows.repartition(F.col("shard"), F.pmod("place", F.lit(PIECES))).sortWithinPartitions("shard", F.pmod("place", F.lit(PIECES)), "place")
 
 
 def op8_source_mix(spark, sf_dir: str) -> DataFrame:
@@ -180,5 +209,5 @@ def op8_source_mix(spark, sf_dir: str) -> DataFrame:
 
 
 def mix_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row per copy taken; documents that the mix leaves out have none."""
+    """A row per copy taken, shard by shard in the shards' local order; documents that the mix leaves out have none."""
     return shuffled(mix(docs)).select("doc_id", "text", "lang", "source", "n_chars")

@@ -42,7 +42,7 @@ def test_targets_and_taken(spark):
         taken[r.source] = taken.get(r.source, 0) + r.taken
     assert len(got) == len(rows)
     for s, t in want.items():
-        assert abs(taken[s] - t) <= max(300, 0.01 * t), (s, taken[s], t)
+        assert abs(taken[s] - t) <= 150, (s, taken[s], t)
 
 
 def test_reruns_agree_and_shards_differ(spark):
@@ -54,6 +54,53 @@ def test_reruns_agree_and_shards_differ(spark):
     assert len(rows) == sum(map(len, a.values())) and len({(r.doc_id, r.copy) for r in rows}) == len(rows)
 
 
+def nearness(rows, spark):
+    got = m.mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)).collect()
+    assert sorted((str(r.doc_id), str(r.text), str(r.source)) for r in got) == sorted(tuple(map(str, r)) for r in rows)
+    taken, target = {}, {}
+    for r in got:
+        assert r.taken == r.size * r.copies and r.copies <= 2
+        taken[r.source] = taken.get(r.source, 0) + r.taken
+        target[r.source] = r.target
+    return got, taken, target
+
+
+def test_repeated_and_missing_ids_come_near_too(spark):
+    """A source of equal rows, one of rows without ids, one whose rows share an id: each within half a document."""
+    rows = [(7, "word", "a")] * 1000 + [(None, f"t{i} x y", "b") for i in range(300)] + [(9, f"u{i} " * (i % 5 + 1), "c") for i in range(300)]
+    rows += [(3, "three words here", "d")] * 101 + [(i, "w " * (i % 9), "d") for i in range(100)]
+    got, taken, target = nearness(rows, spark)
+    for s in target:
+        assert abs(taken[s] - target[s]) <= 5, (s, taken[s], target[s])
+    again, _, _ = nearness(rows[::-1], spark)
+    key = lambda r: (str(r.doc_id), str(r.text), r.source, r.taken)
+    assert sorted(map(key, got)) == sorted(map(key, again))
+
+
+def test_plan_against_the_definition(spark):
+    """Blocks are whole but for one a source, which ends in hash order; shards hold what the tree gave them."""
+    rows = docs(900, 4)
+    got = m.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), shards=8).collect()
+    for source in {r.source for r in got}:
+        own = [r for r in got if r.source == source]
+        target, taken = own[0].target, sum(r.taken for r in own)
+        assert abs(taken - target) <= max(r.size for r in own) / 2 + 1e-6 or target == 2 * own[0].source_size == taken
+        # as many passes as the target needs: nothing is taken twice before nearly all is taken once
+        if target < own[0].source_size * 0.9:
+            assert sum(r.copies == 2 for r in own) <= 2
+        units = [x for r in own for x in r.shards]
+        assert not units or set(units) <= set(range(8))
+
+
+def test_shards_are_written_in_order(spark):
+    rows = m.shuffled(m.mix(spark.createDataFrame(docs(500, 3), "doc_id long, text string, source string")))
+    parts = rows.selectExpr("spark_partition_id() AS part", "shard", "place").collect()
+    at = {}
+    for r in parts:
+        at.setdefault((r.shard, r.place % m.PIECES), []).append((r.part, r.place))
+    assert all(len({p for p, _ in x}) == 1 and [y for _, y in x] == sorted(y for _, y in x) for x in at.values())
+
+
 def test_splitting_tree():
     quotas = np.array([100, 7, 0, 1])
     split = m.split_tree(quotas, 10, 3)
