@@ -5,8 +5,9 @@ A text's bit margins are compared with the codewords by loss-weighted decoding:
 sum of logistic losses, each bit weighted by how well it did in training, wins; a text whose two best
 languages lie closer than ``AMBIGUOUS`` in probability is flagged.
 
-The fit takes at most ``SAMPLE_PER_LANGUAGE`` documents of each language (smallest hash of doc_id), ``SAMPLE_ROWS`` in
-all, with whole texts, on the driver; prediction covers every row in a vectorised pandas UDF.
+The fit takes at most ``SAMPLE_PER_LANGUAGE`` documents of each language, ``SAMPLE_ROWS`` in all, with whole texts, on the
+driver: those with the smallest hashes of doc_id in each of ``PARTS`` parts of the language. Rows without an id are not learnt from, and
+of rows that share id and language one is. Prediction covers every row in a vectorised pandas UDF.
 
 Defined cases: ``und`` with score 0.0 for null texts, texts without a letter, or when nothing was learnt;
 null lang is not learnt from; a single language is always predicted with score 1.0; ties go to the language
@@ -23,11 +24,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from planscope.llm import char_grams as g
-from planscope.llm.common import fold, release_memory, table
+from planscope.llm.common import checkpointed, fold, release_memory, table
 from planscope.llm.url_filter import may_contain
 
 #: Bounds of the fit: documents per language, and in all (many languages get fewer each, 20 at least).
 SAMPLE_PER_LANGUAGE, SAMPLE_ROWS = 1500, 8000
+#: Parts of a language that are sampled apart.
+PARTS = 50
 FEATURES = 2500
 SIZES = (1, 2, 3)
 AMBIGUOUS = 0.2
@@ -113,13 +116,16 @@ def fit(docs: DataFrame, *, per_language: int = SAMPLE_PER_LANGUAGE) -> Language
     ``SAMPLE_ROWS`` in all where there are fewer than 400 languages."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     per_language = max(20, min(per_language, SAMPLE_ROWS // max(1, known.select("lang").distinct().count())))
-    order = Window.partitionBy("lang").orderBy(F.col("h"), F.col("doc_id"))
-    ids = known.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language)
-    ids = ids.select("doc_id", "lang").distinct()
-    # the Bloom filter keeps other texts out of the join's shuffle
-    texts = may_contain(known.select("doc_id", "lang", "text"), "doc_id", ids, "doc_id")
-    got = texts.join(ids, ["doc_id", "lang"])
-    got = got.toPandas().sort_values(["doc_id", "lang", "text"])
+    # the first of each part of a language by hash: a part holds few rows, whatever the language's share of all rows
+    parts = min(PARTS, per_language)
+    order = Window.partitionBy("lang", "part").orderBy(F.col("h"), F.col("doc_id"))
+    ids = known.where("doc_id is not null").select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).withColumn("part", F.pmod(F.xxhash64("h"), F.lit(parts)))
+    ids = ids.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language // parts)
+    ids = checkpointed(ids.select("doc_id", "lang").distinct())
+    # the Bloom filter keeps other texts out of the join's shuffle; of rows that share id and language one is taken
+    texts = may_contain(known.select("doc_id", "lang", "text"), "doc_id", ids, "doc_id").join(ids, ["doc_id", "lang"])
+    got = texts.groupBy("doc_id", "lang").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text")).toPandas()
+    got = got.sort_values(["doc_id", "lang"])
     return fit_texts(got["text"].tolist(), got["lang"].tolist())
 
 

@@ -1,17 +1,20 @@
 """Secret scan with an incremental ledger of blobs: every text is a blob named by its SHA-256, and only
 (blob, rule version) pairs that the ledger does not hold yet are scanned; findings join back to all paths.
 
-The ledger is a table ``(blob, rule_version, findings)``, appended to by each run. A path is a row of the
-input: many paths, and many versions of a path, can share a blob, which is then scanned once. The distinct
-blobs are found with a partially aggregated ``groupBy(blob)``, so a text with a third of all rows is reduced
-on the map side before the shuffle, and the join back carries only ids and findings.
+The ledger is a table ``(blob, rules, findings)``, appended to by each run: ``rules`` are the rules, each with its version, that a
+run tried on the blob, ``findings`` what they found. A rule that is new or has a new version is tried on every blob, the others
+only on new blobs. A path is a row of the input: many paths, and many versions of a path, can share a blob, which is then scanned
+once. The distinct blobs are found with a partially aggregated ``groupBy(blob)``, so a text with a third of all rows is reduced on
+the map side before the shuffle; with a ledger only the texts of blobs that have unseen pairs are fetched at all. The join back
+carries only ids and findings.
 
-All on the main path is DataFrame/SQL: positions come from the alternation of the pieces that ``split``
-leaves and the matches that ``regexp_extract_all`` returns, both leftmost and non-overlapping.
+All on the main path is DataFrame/SQL: positions come from the pieces that ``split`` leaves and the matches that
+``regexp_extract_all`` returns, both leftmost and non-overlapping, as running sums of their lengths (a window within a blob), so
+the work is linear in the text and its matches.
 
 Defined cases: null text is the empty blob without findings; repeated rows are paths of one blob; a rule's
 matches never overlap one another, those of different rules may; spans are code points, end exclusive,
-ordered by start, then by the order of ``RULES``. Texts are scanned whole. Other columns of the input are kept
+ordered by start, then by the order of the rules. Texts are scanned whole. Other columns of the input are kept
 by ``scan`` unless they are named like its outputs.
 """
 
@@ -19,9 +22,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from uuid import uuid4
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from planscope.llm.common import shared_folder
+from planscope.llm.url_filter import may_contain
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -34,6 +43,10 @@ class Rule:
     version: int = 1
     base: bool = False
 
+    @property
+    def name(self) -> str:
+        return f"{self.kind}.{self.version}"
+
 
 #: The base rules first, in the order that breaks ties; those of the method follow.
 RULES = (
@@ -49,8 +62,9 @@ RULES = (
 FINDINGS = "array<struct<start:bigint,rule:int,kind:string,end:bigint>>"
 
 
-def rule_findings(text: Column, number: int, rule: Rule) -> Column:
-    """Findings of one rule in ``text``: an array of structs in order of their start."""
+def rule_lengths(text: Column, rule: Rule) -> Column:
+    """For each stretch of ``text`` up to and with a match: lengths of the gap before it, of the match and of its
+    group; null if no match is long enough, which one search settles."""
     pattern = F.lit(rule.pattern)
     pieces = F.split(text, rule.pattern, -1)
     whole = F.regexp_extract_all(text, pattern, F.lit(0))
@@ -58,20 +72,8 @@ def rule_findings(text: Column, number: int, rule: Rule) -> Column:
     lengths = F.arrays_zip(
         F.transform(pieces, F.char_length).alias("gap"), F.transform(whole, F.char_length).alias("len"), F.transform(part, F.char_length).alias("part")
     )
-    state = "struct<at:bigint,found:" + FINDINGS + ">"
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + F.coalesce(x["len"], F.lit(0))
-        found = F.struct(start.alias("start"), F.lit(number).alias("rule"), F.lit(rule.kind).alias("kind"), end.alias("end"))
-        keep = F.coalesce(x["part"], F.lit(0)) >= rule.least
-        return F.struct(end.alias("at"), F.when(keep, F.concat(acc["found"], F.array(found))).otherwise(acc["found"]).alias("found")).cast(state)
-
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(FINDINGS).alias("found")).cast(state)
-    found = F.aggregate(lengths, zero, step, lambda acc: acc["found"])
-    # a text without a match long enough is settled by one search
     least = rule.pattern if rule.group > 1 else rule.pattern[:-2] + f"{{{_more(rule)},}})" if rule.base else rule.pattern
-    return F.when(text.rlike(least), found).otherwise(F.array().cast(FINDINGS))
+    return F.when(text.rlike(least), lengths)
 
 
 def _more(rule: Rule) -> int:
@@ -79,44 +81,70 @@ def _more(rule: Rule) -> int:
     return rule.least - (4 if rule.kind == "access" else 0)
 
 
-def findings_of(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
-    """All findings in ``text``, by start, then by the order of ``rules``."""
-    return F.array_sort(F.concat(*[rule_findings(text, i, r) for i, r in enumerate(rules)]))
-
-
-def version_of(rules: tuple[Rule, ...]) -> str:
-    return ",".join(f"{r.kind}.{r.version}" for r in rules)
-
-
 def blob_id(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
 
 
-def scan_new_blobs(docs: DataFrame, ledger: DataFrame | None, *, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(blob, rule_version, findings) of the blobs of ``docs`` that ``ledger`` lacks at this rule version."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(blob_id(F.col(text_col)).alias("blob"), text.alias("__text"))
-    if ledger is not None:
-        seen = ledger.where(F.col("rule_version") == version_of(rules)).select("blob").distinct()
-        rows = rows.join(seen, "blob", "left_anti")
-    blobs = rows.groupBy("blob").agg(F.first("__text").alias("__text"))
-    return blobs.select("blob", F.lit(version_of(rules)).alias("rule_version"), findings_of(F.col("__text"), rules).alias("findings"))
-
-
-def scan(docs: DataFrame, ledger: DataFrame | None = None, *, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``docs`` with blob, rule_version and findings; old blobs take theirs from ``ledger``."""
-    own = ["blob", "rule_version", "findings"]
-    found = scan_new_blobs(docs, ledger, text_col=text_col, rules=rules)
-    if ledger is not None:
-        old = ledger.where(F.col("rule_version") == version_of(rules)).select(*own).dropDuplicates(["blob"])
-        found = found.unionByName(old)
+def _unseen(ids: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """(blob, rules): the names of the rules that each of the blobs ``ids`` still lacks, if any."""
+    known = ledger.select("blob", F.explode("rules").alias("rule")).where(F.col("rule").isin([r.name for r in rules]))
+    known = known.groupBy("blob").agg(F.collect_set("rule").alias("known"))  # no more than there are rules
+    every = F.array(*[F.lit(r.name) for r in rules])
+    left = ids.join(known, "blob", "left").select("blob", F.array_except(every, F.coalesce("known", F.array().cast("array<string>"))).alias("rules"))
+    return left.where(F.size("rules") > 0)
+
+
+def scan_new_pairs(docs: DataFrame, ledger: DataFrame | None, *, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(blob, rules, findings): the ledger rows that ``docs`` add to ``ledger``."""
+    rows = docs.select(blob_id(F.col(text_col)).alias("blob"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    every = F.array(*[F.lit(r.name) for r in rules])
+    if ledger is None:
+        blobs = rows.groupBy("blob").agg(F.first("text").alias("text")).withColumn("rules", every)
+    else:
+        unseen = _unseen(rows.select("blob").distinct(), ledger, rules)
+        # (a Bloom filter keeps the texts of seen blobs out of the shuffle; the join is exact)
+        blobs = may_contain(rows, "blob", unseen, "blob").groupBy("blob").agg(F.first("text").alias("text")).join(unseen, "blob")
+    tried = [F.struct(F.lit(i).alias("rule"), F.when(F.array_contains("rules", r.name), rule_lengths(F.col("text"), r)).alias("x")) for i, r in enumerate(rules)]
+    # one more element, so that a blob without findings has a row too
+    none = F.struct(F.lit(-1).alias("rule"), F.array(F.struct(F.lit(0).alias("gap"), F.lit(None).cast("int").alias("len"), F.lit(None).cast("int").alias("part"))).alias("x"))
+    each = blobs.select("blob", "rules", F.explode(F.array(none, *tried)).alias("r")).where(F.col("r.x").isNotNull())
+    each = each.select("blob", "rules", "r.rule", F.posexplode("r.x").alias("pos", "x"))
+    upto = Window.partitionBy("blob", "rule").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    end = F.sum((F.col("x.gap") + F.coalesce("x.len", F.lit(0))).cast("bigint")).over(upto)
+    kind, least = (F.element_at(F.array(*[F.lit(getattr(r, k)) for r in rules]), F.greatest(F.col("rule"), F.lit(0)) + 1) for k in ("kind", "least"))
+    found = F.struct((F.col("end") - F.col("x.len")).alias("start"), F.col("rule"), kind.alias("kind"), F.col("end").alias("end"))
+    each = each.withColumn("end", end).select("blob", "rules", F.when((F.col("rule") >= 0) & (F.col("x.part") >= least), found).alias("found"))
+    # a text has no more findings than characters
+    return each.groupBy("blob").agg(F.first("rules").alias("rules"), F.array_sort(F.collect_list("found")).cast(FINDINGS).alias("findings"))
+
+
+def record(docs: DataFrame, path: str, *, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Scan what the ledger at ``path`` lacks, append it, and return the ledger. ``path``: a folder that all executors share."""
+    spark = docs.sparkSession
+    try:
+        ledger = spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        ledger = None
+    scan_new_pairs(docs, ledger, text_col=text_col, rules=rules).write.mode("append").parquet(path)
+    return spark.read.parquet(path)
+
+
+def scan(docs: DataFrame, ledger: DataFrame, *, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``docs`` with blob and findings of the current rules, as ``ledger`` has them."""
+    own = ["blob", "findings"]
+    current = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.kind), F.struct(F.lit(i).alias("rule"), F.lit(r.name).alias("name")))])
     # blobs without findings need not travel: paths that find nothing in the join have none
-    found = found.where(F.size("findings") > 0).select("blob", "findings")
+    found = ledger.where(F.size("findings") > 0)
+    # findings of the rules and versions at hand, with the rules' present numbers
+    mine = F.filter("findings", lambda f: F.coalesce(F.array_contains("rules", F.element_at(current, f["kind"])["name"]), F.lit(False)))
+    mine = F.transform(mine, lambda f: F.struct(f["start"].alias("start"), F.element_at(current, f["kind"])["rule"].alias("rule"), f["kind"].alias("kind"), f["end"].alias("end")))
+    found = found.select("blob", mine.alias("findings")).groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("findings")))).alias("findings"))
+    found = found.repartition(F.xxhash64("blob"))  # so that the join has exchanges of its own, which adaptive execution can split
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in own]
     paths = docs.select(*kept, blob_id(F.col(text_col)).alias("blob"))
-    return paths.join(found, "blob", "left").select(
-        *kept, "blob", F.lit(version_of(rules)).alias("rule_version"), F.coalesce(F.col("findings"), F.array().cast(FINDINGS)).alias("findings")
-    )
+    return paths.join(found, "blob", "left").select(*kept, "blob", F.coalesce(F.col("findings"), F.array().cast(FINDINGS)).alias("findings"))
 
 
 def span_text(findings: Column) -> Column:
@@ -125,8 +153,10 @@ def span_text(findings: Column) -> Column:
 
 
 def op4_secret_scan(spark, sf_dir: str) -> DataFrame:
+    """A ledger of its own, in the folder that driver and executors share."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    found = scan(docs).select("doc_id", "findings")
+    ledger = record(docs, f"{shared_folder(spark)}/secret-ledger-{uuid4().hex}")
+    found = scan(docs, ledger).select("doc_id", "findings")
     n_base = sum(r.base for r in RULES)
     base = F.filter("findings", lambda f: f["rule"] < n_base)
     count = lambda kind: F.size(F.filter("findings", lambda f: f["kind"] == kind)).cast("long")

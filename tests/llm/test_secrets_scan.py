@@ -22,25 +22,47 @@ def brute(text):
     return sorted(out)
 
 
-def test_against_re(spark):
+def test_against_re(spark, tmp_path):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string")
-    got = {r.doc_id: [tuple(x) for x in r.findings] for r in s.scan(df).collect()}
+    got = {r.doc_id: [tuple(x) for x in r.findings] for r in s.scan(df, s.record(df, f"{tmp_path}/ledger")).collect()}
     assert got == {i: brute(t) for i, t in enumerate(TEXTS)}
     assert any(x[2] == "github" for x in got[10]) and len(got[3]) == 0
 
 
-def test_ledger_scans_only_new_pairs(spark):
-    old = spark.createDataFrame([(1, TEXTS[2]), (2, None)], "doc_id long, text string")
-    ledger = s.scan_new_blobs(old, None)
-    # a planted finding shows that the old blob's row comes from the ledger
-    mark = F.transform("findings", lambda f: f.withField("kind", F.lit("kept")))
-    ledger = ledger.withColumn("findings", mark)
-    new = spark.createDataFrame([(3, TEXTS[2], 1), (4, TEXTS[4], 2), (5, TEXTS[4], 2), (6, None, 3)], "doc_id long, text string, blob int")
-    assert s.scan_new_blobs(new, ledger).count() == 1
-    got = {r.doc_id: [f.kind for f in r.findings] for r in s.scan(new, ledger).collect()}
-    assert got == {3: ["kept"], 4: got[5], 5: [x[2] for x in brute(TEXTS[4])], 6: []}
-    assert s.scan_new_blobs(old, ledger.withColumn("rule_version", F.lit("other"))).count() == 2
+def test_ledger_scans_only_new_pairs(spark, tmp_path):
+    path = f"{tmp_path}/ledger"
+    old = spark.createDataFrame([(1, TEXTS[2]), (2, None), (3, TEXTS[4])], "doc_id long, text string")
+    assert s.record(old, path, rules=s.RULES[:2]).count() == 3
+    # the same again: nothing
+    assert s.scan_new_pairs(old, spark.read.parquet(path), rules=s.RULES[:2]).count() == 0
+    assert s.record(old, path, rules=s.RULES[:2]).count() == 3
+    # a new blob gets all rules, old ones the third rule only
+    new = spark.createDataFrame([(3, TEXTS[2], 1), (4, TEXTS[4], 2), (5, TEXTS[4], 2), (6, None, 3), (7, TEXTS[5], 4)], "doc_id long, text string, blob int")
+    pairs = s.scan_new_pairs(new, spark.read.parquet(path), rules=s.RULES[:3]).collect()
+    assert sorted(sorted(r.rules) for r in pairs) == [["access.1", "assign.1", "hex.1"]] + [["hex.1"]] * 3
+    assert {f.kind for r in pairs if r.rules == ["hex.1"] for f in r.findings} == {"hex"}
+    ledger = s.record(new, path, rules=s.RULES[:3])
+    got = {r.doc_id: [tuple(f) for f in r.findings] for r in s.scan(new, ledger, rules=s.RULES[:3]).collect()}
+    three = lambda t: [x for x in brute(t) if x[1] < 3]
+    assert got == {3: three(TEXTS[2]), 4: three(TEXTS[4]), 5: three(TEXTS[4]), 6: [], 7: three(TEXTS[5])}
+    # a new version of a rule is tried on every blob, and only its findings count
+    second = (*s.RULES[:2], s.Rule("hex", r"([0-9a-f]+)", 1, 18, version=2))
+    pairs = s.scan_new_pairs(new, ledger, rules=second).collect()
+    assert [r.rules for r in pairs] == [["hex.2"]] * 4
+    found = {r.doc_id: [f.kind for f in r.findings] for r in s.scan(new, s.record(new, path, rules=second), rules=second).collect()}
+    assert found[4].count("hex") == 0 and found[7].count("hex") == 1
+    # planted findings show that seen pairs come from the ledger
+    mark = F.transform("findings", lambda f: f.withField("end", F.lit(999).cast("long")))
+    kept = s.scan(new, ledger.withColumn("findings", mark), rules=s.RULES[:3]).collect()
+    assert {f.end for r in kept for f in r.findings} == {999}
 
 
-def test_empty(spark):
-    assert s.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+def test_repeated_long_and_empty(spark, tmp_path):
+    many = " ".join(f"{i:016x}" for i in range(30_000))
+    rows = [(1, many), (1, many), (2, many), (None, "token=abcdefghijklmn"), (3, "")]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, findings string")
+    got = s.scan(df, s.record(df, f"{tmp_path}/a"))
+    assert got.columns == ["doc_id", "text", "blob", "findings"]
+    assert sorted(len(r.findings) for r in got.collect()) == [0, 1, 30_000, 30_000, 30_000]
+    none = spark.createDataFrame([], "doc_id long, text string")
+    assert s.scan(none, s.record(none, f"{tmp_path}/b")).count() == 0
