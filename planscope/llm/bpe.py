@@ -22,14 +22,15 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from planscope.llm.common import release_memory
+from planscope.llm.common import release_memory, small_batches, table
 
-CACHE_WORDS = 250_000
+CACHE_WORDS = 60_000
 #: Words with at least so many characters are not kept: they are rare and large.
 LONG_WORD = 200
 
@@ -271,6 +272,19 @@ def encode_documents(docs: DataFrame, path: str, *, text_col: str = "text", with
     return rows.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType) for f in fields]))
 
 
+def decode_ids(docs: DataFrame, path: str, *, ids_col: str = "token_ids") -> DataFrame:
+    """``docs`` with decoded: the tokens of ``ids_col`` (array of int) joined by one space, as the vocabulary names no decoder; null
+    ids decode to the empty text, ids that the vocabulary lacks to nothing."""
+    kept = [F.col(f"`{c}`") for c in docs.columns if c != "decoded"]
+
+    @F.pandas_udf("string")
+    def decode(ids: pd.Series) -> pd.Series:
+        tokens = vocabulary(path).tokens
+        return pd.Series([" ".join([tokens[i] for i in x if i in tokens]) if x is not None else "" for x in ids], dtype=object)
+
+    return docs.select(*kept, decode(F.col(ids_col).cast("array<int>")).alias("decoded"))
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -278,10 +292,11 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def op10_bpe(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return encode_documents(docs, tokenizer_path(), with_ids=False, with_text=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def bpe_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The last stage: doc_id, source, token_ids and the hashes of ids and decoded text, a row per copy."""
+    small_batches(spark)
     return encode_documents(docs.select("doc_id", "text", "source"), tokenizer_path(), with_text=False).select("doc_id", "source", "n_tokens", "token_ids", "ids_sha256", "decoded_sha256")

@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planscope.llm.common import WORD, checkpointed, release_memory, table
+from planscope.llm.common import WORD, checkpointed, release_memory, small_batches, table
 
 MIN_WORDS = 10
 BASE = 0x9E3779B97F4A7C15  # of the hashes of runs; odd, so that it has an inverse
@@ -231,6 +231,7 @@ def op2_line_dedup(spark, sf_dir: str) -> DataFrame:
 
 def line_dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents lose their common blocks; those of which nothing but white space is left go."""
+    small_batches(spark)
     out = dedup_lines(docs)
     left = out.where((F.size("deleted_lines") == 0) | F.col("text").rlike(WORD))
     return left.select("doc_id", "text", "lang", "source", F.when(F.size("deleted_lines") == 0, F.col("n_chars")).otherwise(F.char_length("text").cast("long")).alias("n_chars"))

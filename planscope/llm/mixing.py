@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from planscope.llm.common import WORD, checkpointed, table
+from planscope.llm.common import WORD, checkpointed, small_batches, table
 
 BLOCKS = 1024
 #: Rows of the plan (source, block) up to which it is broadcast: some 10 MB.
@@ -210,4 +210,5 @@ def op8_source_mix(spark, sf_dir: str) -> DataFrame:
 
 def mix_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row per copy taken, shard by shard in the shards' local order; documents that the mix leaves out have none."""
+    small_batches(spark)
     return shuffled(mix(docs)).select("doc_id", "text", "lang", "source", "n_chars")

@@ -27,6 +27,7 @@ different documents, equal rows are one.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from planscope.llm import shingles
-from planscope.llm.common import checkpointed, release_memory, table, text_slices
+from planscope.llm.common import checkpointed, release_memory, small_batches, table, text_slices
 from planscope.llm.components import connected_components
 from planscope.llm.url_filter import may_contain
 
@@ -43,6 +44,8 @@ SKETCH_BITS = 18
 SLICES = 64
 SMALL = 64
 BLOCK = 1024
+#: Postings that are compared together.
+TOGETHER = 10_000
 
 
 def least_overlap(a, b, percent: int):
@@ -189,10 +192,14 @@ def _bucket_pairs(percent: int):
             if wide.any():
                 yield pa.RecordBatch.from_arrays([pa.array(token[wide]), pa.array(name[wide]), pa.nulls(int(wide.sum()), pa.int64()), pa.array(place[wide])], names=_PAIR)
 
-        for batch in batches:
-            if not batch.num_rows:
+        held = []
+        for batch in chain(batches, [None]):
+            if batch is not None and batch.num_rows:
+                held.append([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)])
+            if not held or (batch is not None and sum(len(c[0]) for c in held) < TOGETHER):
                 continue
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+            cols = [np.concatenate(x) for x in zip(*held, strict=True)]
+            held.clear()
             if carry is not None:
                 cols = [np.concatenate(x) for x in zip(carry, cols, strict=True)]
             # a class that several tasks sent counts once, so that what is held decides between small and large
@@ -401,6 +408,7 @@ def first_of_components(docs: DataFrame, *, words: int, percent: int, id_col: st
 
 def ngram_join_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Near duplicates (five words, similarity of 0.8 or more): the first document of each component stays."""
+    small_batches(spark)
     return first_of_components(docs, words=5, percent=80).select("doc_id", "text", "lang", "source", "n_chars")
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from planscope.llm import char_grams as g
-from planscope.llm.common import fold, release_memory, table
+from planscope.llm.common import fold, release_memory, small_batches, table
 
 SAMPLE_ROWS = 8000
 FEATURES = 3000
@@ -98,5 +98,6 @@ def op7_toxicity(spark, sf_dir: str) -> DataFrame:
 
 def toxicity_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go; the model is learnt from all labels of the documents at hand."""
+    small_batches(spark)
     model = fit(docs, table(spark, sf_dir, "labels"))
     return score_documents(docs, model).where("predicted = 0").select("doc_id", "text", "lang", "source", "n_chars")

@@ -50,3 +50,12 @@ def test_documents(spark, library):
         assert (" ".join(map(str, r.token_ids)), r.decoded, r.n_tokens) == (ids, plain, n)
         assert r.ids_sha256 == hashlib.sha256(ids.encode()).hexdigest()
     assert bpe.encode_documents(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_decoding_ids_equals_the_library(spark):
+    path = bpe.tokenizer_path()
+    library = Tokenizer.from_file(path)
+    texts = ["Hello, world! 12 mice", "naïve ＡＢＣ 日本語 🙂", "", "a <|endoftext|> b", "x" * 5000]
+    rows = [(i, library.encode(t, add_special_tokens=False).ids, "old") for i, t in enumerate(texts)] + [(9, None, "old")]
+    got = {r.doc_id: r.decoded for r in bpe.decode_ids(spark.createDataFrame(rows, "doc_id long, token_ids array<int>, decoded string"), path).collect()}
+    assert got == {i: library.decode(ids, skip_special_tokens=False) if ids is not None else "" for i, ids, _ in rows}
