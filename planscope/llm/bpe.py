@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from planscope.llm.common import release_memory, small_batches, table
 
-CACHE_WORDS = 60_000
+CACHE_WORDS = 120_000
 #: Words with at least so many characters are not kept: they are rare and large.
 LONG_WORD = 200
 
