@@ -26,7 +26,7 @@ def next_steps(orders: DataFrame, prefix: list[str]) -> DataFrame:
 
 def same_order(a: Column, b: Column, n: int) -> Column:
     """Equal as sets in the first n places and in order after them."""
-    rest = lambda x: F.slice(x, n + 1, 1000)
+    rest = lambda x: F.slice(x, n + 1, F.greatest(F.size(x) - n, F.lit(0)))
     return (F.array_sort(F.slice(a, 1, n)) == F.array_sort(F.slice(b, 1, n))) & (rest(a) == rest(b))
 
 
