@@ -33,13 +33,16 @@ def prefixed(df: DataFrame, alias: str) -> DataFrame:
 
 
 def condition(f: RangeFilter, column: Column | None = None) -> Column:
-    """A range as a Column: inclusive bounds, NULL never passes."""
-    raw = F.col(f"{f.alias}_{f.column}") if column is None else column
-    c, out = as_integer(raw), raw.isNotNull()
+    """A range as a Column: inclusive bounds of the integer value, NULL never passes, NaN is above all bounds.
+
+    The bounds are written for the bare column, so that they reach the scan: cut toward zero, a value is at least
+    ``n`` if it exceeds ``n - 1`` (n up to 0) or reaches ``n`` (n above 0), and likewise from above."""
+    c = F.col(f"{f.alias}_{f.column}") if column is None else column
+    out = c.isNotNull()
     if f.lower is not None:
-        out &= c >= f.lower
+        out &= (c > f.lower - 1) if f.lower <= 0 else (c >= f.lower)
     if f.upper is not None:
-        out &= c <= f.upper
+        out &= (c < f.upper + 1) if f.upper >= 0 else (c <= f.upper)
     return out
 
 
@@ -74,26 +77,116 @@ def relation(meta: QueryMeta, catalog: Catalog, tables: Tables, columns: Iterabl
 
 def count_query(meta: QueryMeta, catalog: Catalog, tables: Tables) -> DataFrame:
     """One row with the cardinality of a query."""
-    return relation(meta, catalog, tables).agg(F.count("*").alias("cardinality"))
+    return count_batch({"": meta}, catalog, tables).select("cardinality")
+
+
+def hull(metas: Iterable[QueryMeta]) -> tuple[RangeFilter, ...]:
+    """The tightest ranges that hold in every query: columns that all of them filter, with the widest bounds."""
+    per_query = []
+    for m in metas:
+        own: dict[tuple[str, str], tuple[list, list]] = {}
+        for f in m.filters:
+            lows, highs = own.setdefault((f.alias, f.column), ([], []))
+            lows += [f.lower] if f.lower is not None else []
+            highs += [f.upper] if f.upper is not None else []
+        per_query.append({k: (max(lo, default=None), min(hi, default=None)) for k, (lo, hi) in own.items()})
+    shared = set.intersection(*[set(q) for q in per_query]) if per_query else set()
+    widest = lambda bounds, pick: None if None in bounds else pick(bounds)
+    return tuple(RangeFilter(*k, widest([q[k][0] for q in per_query], min), widest([q[k][1] for q in per_query], max)) for k in sorted(shared))
+
+
+def _all_of(filters: Iterable[RangeFilter]) -> Column:
+    return reduce(lambda a, b: a & b, [condition(f) for f in filters], F.lit(True))
+
+
+@dataclass
+class JoinTree:
+    """The joins of a table set as a tree; an edge holds the key columns of either side. ``None`` from ``of``: the joins
+    form a cycle, as a table meets several others through different keys."""
+
+    edges: dict[str, dict[str, tuple[tuple[str, ...], tuple[str, ...]]]]  # table -> neighbour -> (own keys, its keys)
+    unique: dict[str, str]
+
+    @classmethod
+    def of(cls, names: Iterable[str], catalog: Catalog) -> JoinTree | None:
+        order = catalog.join_order(names)
+        edges: dict[str, dict] = {t: {} for t in order}
+        for i, t in enumerate(order[1:], 1):
+            pairs = catalog.join_pairs(order[:i], t)
+            if len({p[0] for p in pairs}) > 1:
+                return None
+            other, theirs, mine = pairs[0][0], tuple(p[1] for p in pairs), tuple(p[3] for p in pairs)
+            edges[t][other], edges[other][t] = (mine, theirs), (theirs, mine)
+        return cls(edges, {t: c for t, c in catalog.primary_keys.items() if t in edges})
+
+    def is_unique(self, table: str, keys: tuple[str, ...]) -> bool:
+        return self.unique.get(table) in keys
+
+    def below(self, table: str, parent: str | None) -> list[str]:
+        return [table] + [x for n in self.edges[table] if n != parent for x in self.below(n, table)]
+
+    def repeated_keys(self, table: str, parent: str | None = None) -> int:
+        """How many sides below a root must be grouped, as their keys repeat."""
+        return sum(not self.is_unique(n, keys) for n, (_, keys) in self.edges[table].items() if n != parent) + sum(
+            self.repeated_keys(n, table) for n in self.edges[table] if n != parent
+        )
+
+
+def _weights(tree: JoinTree, table: str, parent: str | None, metas: list[QueryMeta], catalog: Catalog, tables: Tables, bounds: tuple[RangeFilter, ...]) -> tuple[DataFrame, list[str]]:
+    """The rows of ``table`` with, per query, the number of joined rows that the tables below add to each; grouped by the
+    keys toward ``parent`` unless they are unique. Queries that agree on all tables below share a column."""
+    a = catalog.aliases[table]
+    df = apply_filters(prefixed(tables(table), a), [f for f in bounds if f.alias == a])
+    factors: list[list[Column]] = [[] for _ in metas]
+    for child, (mine, theirs) in tree.edges[table].items():
+        if child == parent:
+            continue
+        part, names = _weights(tree, child, table, metas, catalog, tables, bounds)
+        b = catalog.aliases[child]
+        df = df.join(part, reduce(lambda x, y: x & y, [F.col(f"{a}_{m}") == F.col(f"{b}_{t}") for m, t in zip(mine, theirs, strict=True)]))
+        for own, n in zip(factors, names, strict=True):
+            own.append(F.col(n))
+    inside = {catalog.aliases[t] for t in tree.below(table, parent)}
+    columns: dict[tuple, tuple[str, Column]] = {}
+    names = []
+    for m, own in zip(metas, factors, strict=True):
+        key = tuple(f for f in m.filters if f.alias in inside)
+        if key not in columns:
+            local = [f for f in m.filters if f.alias == a]
+            ways = reduce(lambda x, y: x * y, own, F.lit(1).cast("long"))
+            columns[key] = (f"__{a}_w{len(columns)}", F.when(_all_of(local), ways).otherwise(0) if local else ways)
+        names.append(columns[key][0])
+    if parent is None:
+        return df.agg(*[F.coalesce(F.sum(w), F.lit(0)).cast("long").alias(n) for n, w in columns.values()]), names
+    keys = tree.edges[table][parent][0]
+    to_parent = [f"{a}_{k}" for k in keys]
+    if tree.is_unique(table, keys):
+        return df.select(*to_parent, *[w.alias(n) for n, w in columns.values()]), names
+    return df.groupBy(*to_parent).agg(*[F.sum(w).alias(n) for n, w in columns.values()]), names
 
 
 def count_batch(metas: dict[str, QueryMeta], catalog: Catalog, tables: Tables) -> DataFrame:
-    """(query_id, cardinality) of many queries. Queries over the same tables share one pass: the join runs once with the
-    weakest filter and each query is a conditional count; the groups are unioned into one job."""
+    """(query_id, cardinality) of many queries. Queries over the same tables share one pass over the rows that their
+    common bounds (``hull``) leave, with a conditional count for each query.
+
+    Where the joins form a tree, no join of rows with rows that repeat a key is ever built: each side is first counted by
+    its key (partial counts before the shuffle, so a hot key is one row) and the counts are multiplied. The root is a
+    table that leaves the fewest sides to group. Joins with a cycle are built and counted."""
     groups: OrderedDict[tuple[str, ...], dict[str, QueryMeta]] = OrderedDict()
     for name, m in metas.items():
         groups.setdefault(m.tables, {})[name] = m
     parts = []
     for names, own in groups.items():
-        wide = relation(QueryMeta(names), catalog, tables)
-        aggs = []
-        for m in own.values():
-            conds = [condition(f) for f in m.filters]
-            aggs.append(F.count_if(reduce(lambda a, b: a & b, conds)) if conds else F.count("*"))
-        used = {f"{f.alias}_{f.column}" for m in own.values() for f in m.filters}
-        needed = wide.select(*[c for c in wide.columns if c in used]) if used else wide
-        row = needed.agg(*[a.alias(f"q{i}") for i, a in enumerate(aggs)])
-        stacked = ", ".join(f"'{n}', q{i}" for i, n in enumerate(own))
+        queries, bounds = list(own.values()), hull(own.values())
+        tree = JoinTree.of(names, catalog)
+        if tree is not None:
+            root = min(tree.edges, key=tree.repeated_keys)
+            row, columns = _weights(tree, root, None, queries, catalog, tables, bounds)
+        else:
+            columns = [f"q{i}" for i in range(len(own))]
+            wide = relation(QueryMeta(names, bounds), catalog, tables)
+            row = wide.agg(*[F.count_if(_all_of(m.filters)).alias(c) for c, m in zip(columns, queries, strict=True)])
+        stacked = ", ".join(f"'{n}', {c}" for n, c in zip(own, columns, strict=True))
         parts.append(row.selectExpr(f"stack({len(own)}, {stacked}) AS (query_id, cardinality)"))
     return reduce(DataFrame.unionByName, parts)
 

@@ -46,6 +46,51 @@ def test_batch_equals_single_counts(tables):
     assert es.Exact(CAT, tables).estimate(list(metas.values())) == list(map(float, got.values()))
 
 
+@pytest.mark.parametrize("kind", ["double", "int", "decimal(6,2)"])
+def test_predicates_cut_toward_zero(spark, kind):
+    df = spark.createDataFrame([(None if i == 41 else i / 4,) for i in range(-40, 42)], "x double").select(F.col("x").cast(kind).alias("t_x"))
+    values = [None if r.t_x is None else int(r.t_x) for r in df.collect()]
+    for lo, hi in [(None, None), (-3, None), (0, None), (2, None), (None, -2), (None, 0), (None, 3), (-1, 1), (0, 0), (-2, -2), (5, 4)]:
+        want = sum(v is not None and (lo is None or v >= lo) and (hi is None or v <= hi) for v in values)
+        assert rl.apply_filters(df, [R("t", "x", lo, hi)]).count() == want, (lo, hi)
+
+
+def test_counts_equal_the_built_join(tables):
+    rng = random.Random(8)
+    side = lambda a, c: R(a, c, rng.choice([None, rng.randint(-3, 8)]), rng.choice([None, rng.randint(2, 20)]))
+    for names in (("left", "right"), ("left", "right", "hub"), ("hub", "right"), ("hub",)):
+        cols = [(CAT.aliases[t], CAT.predicate_columns[t][0]) for t in names]
+        metas = {str(i): QueryMeta(names, tuple(side(*c) for c in cols if rng.random() < 0.7 or i < 2)) for i in range(5)}
+        got = {r.query_id: r.cardinality for r in rl.count_batch(metas, CAT, tables).collect()}
+        assert got == {k: rl.relation(m, CAT, tables).count() for k, m in metas.items()}
+
+
+def test_joins_with_a_cycle_are_built(spark):
+    cat = Catalog({"a": "a", "b": "b", "c": "c"}, {}, (ForeignKey("a", "x", "b", "x"), ForeignKey("b", "y", "c", "y"), ForeignKey("c", "z", "a", "z")))
+    data = {"a": spark.createDataFrame([(1, 1), (1, 2), (2, 2)], "x int, z int"), "b": spark.createDataFrame([(1, 5), (2, 5), (2, 6)], "x int, y int"), "c": spark.createDataFrame([(5, 1), (5, 2), (6, 9)], "y int, z int")}
+    assert rl.JoinTree.of(("a", "b", "c"), cat) is None
+    assert rl.count_query(QueryMeta(("a", "b", "c")), cat, data.__getitem__).first()[0] == 3
+
+
+def test_hull_of_filters():
+    a = QueryMeta(("left",), (R("a", "x", 3, 9), R("a", "x", 1, 7)))
+    b = QueryMeta(("left",), (R("a", "x", 5, None), R("a", "y", 1, 1)))
+    assert rl.hull([a, b]) == (R("a", "x", 3, None),) and rl.hull([a]) == (R("a", "x", 3, 7),) and rl.hull([a, QueryMeta(("left",))]) == ()
+
+
+def test_filters_reach_the_scan_and_no_repeated_keys_are_joined(spark, tmp_path, tables):
+    for n in ("left", "right", "hub"):
+        tables(n).write.parquet(f"{tmp_path}/{n}.parquet")
+    stored = rl.parquet_tables(spark, str(tmp_path))
+    metas = {"1": QueryMeta(("left", "right"), (R("a", "x", 3, 9),)), "2": QueryMeta(("left", "right"), (R("a", "x", 5, 12), R("b", "y", 1, 2)))}
+    text = rl.count_batch(metas, CAT, stored)._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert "GreaterThanOrEqual(x,3)" in text and "LessThan(x,13)" in text
+    # both sides repeat the key: the one below the root is grouped before the join
+    logical = rl.count_batch(metas, CAT, stored)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [hid" in logical.replace("a_hid", "hid").replace("b_hid", "hid").split("Join", 1)[1]
+    assert "GreaterThan(v,-1.0)" in rl.apply_filters(rl.prefixed(stored("hub"), "h"), [R("h", "v", 0, None)])._jdf.queryExecution().toString()
+
+
 def test_cube_slices_equal_direct_counts(spark, tables):
     rel = rl.relation(QueryMeta(("left", "right")), CAT, tables, ["a_x", "b_y"])
     bins = {"a_x": [-1, 5, 12, 30], "b_y": [-1, 2, 3, 9]}
