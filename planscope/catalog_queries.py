@@ -38,7 +38,7 @@ def _query(sql: str | None):
 
 
 def queries() -> dict[str, QueryFn]:
-    from planscope import more_queries  # noqa: F401  registers its queries
+    from planscope import cube_queries, more_queries  # noqa: F401  they register their queries
 
     return {n: f for n, (f, _) in _QUERIES.items()}
 
@@ -635,6 +635,20 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("q_error", mx.q_error(F.col("true_card_cube"), F.col("independence_estimate"), 1))
 
 
-@_query(None)
+def _flagship_sql() -> str:
+    cols = {"c": "c_acctbal", "o": "o_totalprice", "e": "value"}
+    lists = ", ".join(f"b{a} AS (SELECT list(v ORDER BY v) AS {a} FROM ({_bins_sql('j', c, 20)}))" for a, c in cols.items())
+    edges = ", ".join(f"{a}[least(a, len({a}) - 1)] AS lo_{a}, {a}[least(z, len({a}) - 1) + 1] AS hi_{a}" for a in cols)
+    inside = {a: f"{INT.format(c=c)} > lo_{a} AND {INT.format(c=c)} <= hi_{a}" for a, c in cols.items()}
+    return f"""WITH j AS (SELECT c_acctbal, o_totalprice, value FROM customer, orders, events WHERE o_custkey = c_custkey AND user_id = c_custkey),
+ {lists}, r(query_id, a, z) AS (VALUES ('q1', 1, 5), ('q2', 3, 9), ('q3', 1, 20), ('q4', 8, 12), ('q5', 2, 3), ('q6', 10, 20)),
+ f AS (SELECT query_id, {edges} FROM r, bc, bo, be),
+ k AS (SELECT query_id, count(*) AS n, count(*) FILTER ({" AND ".join(inside.values())}) AS t, {", ".join(f"count(*) FILTER ({x}) AS k{a}" for a, x in inside.items())}
+  FROM f, j WHERE c_acctbal IS NOT NULL AND o_totalprice IS NOT NULL AND value IS NOT NULL GROUP BY query_id),
+ g AS (SELECT query_id, t, n::DOUBLE * kc / n * ko / n * ke / n AS e FROM k)
+ SELECT query_id, t AS true_card_cube, t AS true_card_direct, e AS independence_estimate, greatest((t + 1) / (e + 1), (e + 1) / (t + 1)) AS q_error FROM g"""
+
+
+@_query(_flagship_sql())
 def _flagship_cube_check(spark, d):
     return flagship(spark, d)

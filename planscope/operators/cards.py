@@ -107,3 +107,9 @@ def transferred(known: DataFrame, asked: DataFrame) -> DataFrame:
     near = F.abs(F.col("lo") - F.col("klo")) + F.abs(F.col("hi") - F.col("khi"))
     best = asked.join(k, "column").groupBy("query_id").agg(F.min_by(F.struct("card", "km", "marginal"), F.struct(near, "klo", "khi")).alias("b"))
     return best.select("query_id", (F.col("b.card") * F.try_divide(F.col("b.marginal").cast("double"), F.col("b.km").cast("double"))).alias("estimate"))
+
+
+def intersection(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Keys that both card tables hold with equal values (two nulls are equal)."""
+    columns = ["query_id", "aliases", "true", "est"]
+    return a.select(*columns).intersect(b.select(*columns))

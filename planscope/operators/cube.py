@@ -16,26 +16,40 @@ from planscope.operators.relation import as_integer
 EPSILON = 1e-9
 
 
-def bin_boundaries(df: DataFrame, column: str, budget: int) -> DataFrame:
+def bin_boundaries(df: DataFrame, column: str, budget: int, parts: int = 64) -> DataFrame:
     """(bin, boundary) of one column: with more distinct values than ``budget``, the values at evenly spaced sorted
     positions, repeats dropped; else all distinct values; the lowest boundary is one less than the least value.
 
-    Positions come from value counts and their running sums: the sort is over distinct values, not over rows."""
-    counts = df.where(F.col(column).isNotNull()).groupBy(as_integer(F.col(column)).alias("v")).agg(F.count("*").alias("cnt"))
-    ordered = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    run = counts.withColumn("last", F.sum("cnt").over(ordered) - 1).withColumn("first", F.col("last") - F.col("cnt") + 1)
-    every = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    run = run.withColumn("n", F.sum("cnt").over(every)).withColumn("distinct", F.count("*").over(every))
-    # a value is picked if some position trunc(i * (n - 1) / budget) falls in its run of equal values
-    i = F.ceil((F.col("first") * budget).cast("double") / F.greatest(F.col("n") - 1, F.lit(1)))
-    picked = F.floor(i * (F.col("n") - 1) / budget).between(F.col("first"), F.col("last")) & (i <= budget)
-    chosen = run.where((F.col("distinct") <= budget) | picked).select("v", "distinct")
-    lowest = F.min("v").over(every)
-    few = chosen.where(F.col("distinct") <= budget)
-    least = few.groupBy().agg((F.min("v") - 1).alias("v")).where("v is not null")
-    many = chosen.where(F.col("distinct") > budget).withColumn("lowest", lowest)
-    bounds = few.select("v").unionByName(least).unionByName(many.select(F.when(F.col("v") == F.col("lowest"), F.col("v") - 1).otherwise(F.col("v")).alias("v")))
-    return bounds.select((F.row_number().over(Window.orderBy("v")) - 1).cast("long").alias("bin"), F.col("v").alias("boundary"))
+    Runs when called and returns at most ``budget + 1`` rows. Positions come from value counts and their running sums. The
+    distinct values are cut into ``parts`` ranges at approximate quantiles, so that no task sorts all of them; the cuts
+    only deal the work, the boundaries are exact. An empty column has no boundaries."""
+    value = as_integer(F.col(column)).alias("v")
+    counts = df.where(F.col(column).isNotNull()).groupBy(value).agg(F.count("*").alias("cnt")).persist()
+    try:
+        cuts = F.percentile_approx("v", [i / parts for i in range(1, parts)], 1000).alias("cuts")
+        whole = counts.agg(F.sum("cnt").alias("n"), F.count("*").alias("values"), F.min("v").alias("least"), cuts).first()
+        if whole["values"] <= budget:
+            found = [r.v for r in counts.select("v").collect()]
+            chosen = sorted({v for v in found} | ({whole["least"] - 1} if found else set()))
+        else:
+            part = bin_index(F.col("v"), sorted(set(whole["cuts"])))
+            totals = dict(counts.groupBy(part.alias("part")).agg(F.sum("cnt").alias("cnt")).collect())
+            before, starts = 0, []
+            for k in range(len(set(whole["cuts"])) + 1):
+                starts.append(before)
+                before += totals.get(k, 0)
+            run = F.sum("cnt").over(Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+            start = F.element_at(F.array(*[F.lit(x).cast("long") for x in starts]), F.col("part") + 1)
+            rows = counts.withColumn("part", part).withColumn("last", start + run - 1).withColumn("first", F.col("last") - F.col("cnt") + 1)
+            # a value is picked if the first position trunc(i * (n - 1) / budget) from its run's start on falls in its run
+            n = whole["n"]
+            i = F.least(F.expr(f"(first * {budget} + {max(n - 2, 0)}) div {max(n - 1, 1)}"), F.lit(budget))
+            position = F.expr(f"picked * {n - 1} div {budget}")
+            picked = rows.withColumn("picked", i).where(position.between(F.col("first"), F.col("last")))
+            chosen = sorted(r.v - (r.v == whole["least"]) for r in picked.select("v").collect())
+    finally:
+        counts.unpersist()
+    return df.sparkSession.createDataFrame(list(enumerate(chosen)), "bin long, boundary long")
 
 
 def collect_bins(bins: DataFrame) -> list[int]:
@@ -61,14 +75,37 @@ def marginal(df: DataFrame, column: str, bins: list[int]) -> DataFrame:
     return frame.join(one, "bin", "left").select("bin", F.coalesce("cnt", F.lit(0)).cast("long").alias("cnt"))
 
 
+def marginals(df: DataFrame, bins: dict[str, list[int]]) -> DataFrame:
+    """(column, bin, cnt) of many columns in one pass, zeros for empty bins; nulls and values outside are left out."""
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), bin_index(as_integer(F.col(c)), b).alias("bin"), F.col(c).isNotNull().alias("known")) for c, b in bins.items()]))
+    seen = df.select(each.alias("x")).where("x.known").groupBy("x.column", "x.bin").agg(F.count("*").alias("cnt"))
+    frame = df.sparkSession.createDataFrame([(c, i) for c, b in bins.items() for i in range(1, len(b))], "column string, bin int")
+    return frame.join(seen, ["column", "bin"], "left").select("column", "bin", F.coalesce("cnt", F.lit(0)).cast("long").alias("cnt"))
+
+
+def strict_marginal(df: DataFrame, column: str, bins: list[int]) -> DataFrame:
+    """``marginal``, an error if a bin is empty."""
+    out = marginal(df, column, bins)
+    empty = [r.bin for r in out.where("cnt = 0").collect()]
+    if empty:
+        raise ValueError(f"empty bins of {column}: {sorted(empty)}")
+    return out
+
+
+def summary(cells: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: total count, cells that occur, and bins in use per column."""
+    return cells.agg(F.coalesce(F.sum("cnt"), F.lit(0)).alias("total"), F.count("*").alias("cells"), *[F.count_distinct(f"bin_{c}").alias(f"bins_{c}") for c in columns])
+
+
 def marginal_of_cube(cells: DataFrame, column: str) -> DataFrame:
     return cells.groupBy(F.col(f"bin_{column}").alias("bin")).agg(F.sum("cnt").alias("cnt"))
 
 
 def slice_batch(cells: DataFrame, ranges: DataFrame, columns: list[str]) -> DataFrame:
     """(query_id, cardinality) of many ranges at once. ``ranges``: query_id, and lo_<c>, hi_<c> bin numbers (inclusive)
-    per column. The ranges are a stated query set; they meet the cells of the cube, not the rows."""
-    on = reduce(lambda a, b: a & b, [F.col(f"bin_{c}").between(F.col(f"lo_{c}"), F.col(f"hi_{c}")) for c in columns])
+    per column; a null lo_<c> leaves the column free. The ranges are a stated query set; they meet the cells of the cube,
+    not the rows."""
+    on = reduce(lambda a, b: a & b, [F.col(f"lo_{c}").isNull() | F.col(f"bin_{c}").between(F.col(f"lo_{c}"), F.col(f"hi_{c}")) for c in columns])
     return ranges.join(cells, on, "left").groupBy("query_id").agg(F.coalesce(F.sum("cnt"), F.lit(0)).cast("long").alias("cardinality"))
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from planscope.functions.metrics import METRICS
+from planscope.functions.metrics import METRICS, over_error, under_error
 
 
 def metric_table(results: DataFrame, keys: list[str], metrics: dict | None = None, column: str = "p_error") -> DataFrame:
@@ -126,3 +126,34 @@ def text_table(df: DataFrame, title: str = "") -> str:
 def latex_table(df: DataFrame) -> str:
     rows = [" & ".join(str(v) for v in r) + r" \\" for r in df.collect()]
     return "\n".join([rf"\begin{{tabular}}{{{'l' * len(df.columns)}}}", " & ".join(df.columns) + r" \\ \hline", *rows, r"\end{tabular}"])
+
+
+def best_case(results: DataFrame, direction: str = "under") -> DataFrame:
+    """The one query with the largest one-sided q-error: ``under`` true / (est + 1), ``over`` est / (true + 1); ties go to
+    the least query_id."""
+    error = {"under": under_error, "over": over_error}[direction](F.col("true_card"), F.col("est_card"))
+    return results.withColumn("error", error).orderBy(F.col("error").desc_nulls_last(), "query_id").limit(1)
+
+
+def merged_round(kept: DataFrame, found: DataFrame, keep: int = 100) -> DataFrame:
+    """The best ``keep`` cases of the rounds so far and a new one by p_error, each query once with its largest error."""
+    both = kept.select("query_id", "p_error").unionByName(found.select("query_id", "p_error"))
+    best = both.groupBy("query_id").agg(F.max("p_error").alias("p_error"))
+    return best.orderBy(F.col("p_error").desc_nulls_last(), "query_id").limit(keep)
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], column: str, shares: dict[str, float]) -> DataFrame:
+    """Interpolated quantiles per group as columns, from counts by value: groups are sorted by Spark (and spill), so no
+    buffer holds all values of a group. Nulls are left out; groups without values give no row."""
+    counts = df.where(F.col(column).isNotNull()).groupBy(*keys, F.col(column).alias("__v")).agg(F.count("*").alias("__c"))
+    w = Window.partitionBy(*keys)
+    run = F.sum("__c").over(w.orderBy("__v").rowsBetween(Window.unboundedPreceding, 0))
+    rows = counts.withColumns({"__last": run - 1, "__n": F.sum("__c").over(w)}).withColumn("__first", F.col("__last") - F.col("__c") + 1)
+    aggs = []
+    for name, share in shares.items():
+        at = (F.col("__n") - 1) * F.lit(float(share))
+        held = lambda i: F.max(F.when(i.between(F.col("__first"), F.col("__last")), F.col("__v").cast("double")))
+        low, high = held(F.floor(at)), held(F.ceil(at))
+        part = F.max(at - F.floor(at))
+        aggs.append((low + (high - low) * part).alias(name))
+    return rows.groupBy(*keys).agg(*aggs)
