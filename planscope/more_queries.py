@@ -229,7 +229,10 @@ def _drained(spark, stream, mode: str):
     import tempfile
     import uuid
 
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.gettempdir()}/stream_{uuid.uuid4().hex}"
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    folder = f"{shared or tempfile.gettempdir()}/stream_{uuid.uuid4().hex}"
 
     def keep(batch, epoch):  # a repeated batch writes the same folder again
         batch.write.mode("overwrite").parquet(f"{folder}/out" if mode == "complete" else f"{folder}/out/epoch={epoch}")
