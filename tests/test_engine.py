@@ -1,6 +1,7 @@
 """Relations, cubes, cards, estimators, files and streams on small tables."""
 
 import random
+import re
 import time
 
 import pytest
@@ -132,6 +133,54 @@ def test_completion_fixture(spark):
     assert cd.missing(cards.select("query_id", "aliases"), cards).count() == 1 and not cd.valid(cards).first().valid
 
 
+def _transfer_by_hand(known, asked):
+    last = lambda x: (x is None, x or 0)
+    best = {}
+    for q, c, lo, hi, m in asked:
+        for kc, klo, khi, km, card in known:
+            if c is not None and kc == c:
+                near = None if None in (lo, hi, klo, khi) else abs(lo - klo) + abs(hi - khi)
+                estimate = None if m is None or card is None or not km else card * (m / km)
+                rank = (last(near), last(klo), last(khi), last(km), last(card))
+                best[q] = min(best.get(q, (rank, estimate)), (rank, estimate), key=lambda x: x[0])
+    return {q: e for q, (_, e) in best.items()}
+
+
+KNOWN_SCHEMA, ASKED_SCHEMA = ("column string, lo long, hi long, marginal long, card long", "query_id long, column string, lo long, hi long, marginal long")
+
+
+def test_predicate_transfer_equals_a_loop(spark):
+    rng = random.Random(5)
+    known = [(rng.choice("xyz"), rng.randint(0, 9), rng.randint(5, 19), rng.randint(0, 4), rng.randint(0, 99)) for _ in range(25)]
+    known += [(None, 1, 2, 3, 4), ("x", None, 3, 1, 7), ("only nulls", None, None, 2, 9)]
+    number = lambda n: rng.choice([None, *range(n)])
+    asked = []
+    for q in [None, *range(200)]:  # marginals differ between queries only: rows at equal distance agree
+        asked += [(q, rng.choice([None, "x", "y", "z", "only nulls", "unknown"]), number(12), number(20), q) for _ in range(rng.randint(1, 4))]
+    got = cd.transferred(spark.createDataFrame(known, KNOWN_SCHEMA), spark.createDataFrame(asked, ASKED_SCHEMA)).collect()
+    assert {r.query_id: r.estimate for r in got} == pytest.approx(_transfer_by_hand(known, asked)) and len(got) == len({r.query_id for r in got})
+
+
+def test_predicate_transfer_puts_ranges_without_a_distance_last(spark):
+    known = spark.createDataFrame([("x", 0, 10, 10, 100), ("y", 0, 10, 10, 500)], KNOWN_SCHEMA)
+    asked = spark.createDataFrame([(1, "x", None, 10, 10), (1, "y", 3, 30, 10), (2, "x", None, 10, 10)], ASKED_SCHEMA)
+    assert {r.query_id: r.estimate for r in cd.transferred(known, asked).collect()} == {1: 500.0, 2: 100.0}
+
+
+def test_predicate_transfer_deals_rows_by_query(spark, monkeypatch):
+    """One column and one query that asks for half of the ranges: tasks stay small, and grow in number with the rows."""
+    monkeypatch.setattr(cd, "ROWS_A_TASK", 500, raising=False)
+    known = spark.createDataFrame([("x", 0, 10, 100, 1000), ("x", 20, 40, 50, 90)], KNOWN_SCHEMA)
+    for n in (4_000, 16_000):
+        query = F.when(F.col("id") % 2 == 0, F.col("id")).otherwise(-1)
+        asked = spark.range(0, n, 1, 16).select(query.alias("query_id"), F.lit("x").alias("column"), (F.col("id") % 30).alias("lo"), (F.col("id") % 30 + 5).alias("hi"), F.lit(100).alias("marginal"))
+        out = cd.transferred(known, asked)
+        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == n // 2 + 1 and max(sizes) <= 500
+        dealt = re.findall(r"hashpartitioning\((.*?), (\d+)\)", re.sub(r"#\d+L?", "", out._jdf.queryExecution().executedPlan().toString()))
+        assert dealt == [("query_id", str(n // 500)), ("query_id, share", str(n // 500))]
+
+
 def test_metric_fixtures(spark):
     df = spark.createDataFrame([("m", 1, 10.0, 1.0, 5.0), ("m", 2, 4.0, 2.0, 3.0), ("m", 3, 6.0, 6.0, 9.0)], "method string, query_id int, cost_actual double, cost_expected double, p_error double")
     assert rp.cumulative_error(df, 3).first().cumulative == pytest.approx(14 / 3)
